@@ -141,8 +141,10 @@ def counts_wb(name: str, source: str, key: str, text: str, low: int = 3, high: i
 
 
 def counts_char(name: str, source: str, key: str, text: str, low: int = 3, high: int = 5) -> str:
-    return f"""{name}_t AS (SELECT {key}, {norm(text)} AS t FROM {source}),
-{name} AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest({sql_grams('t', low, high)}) AS term FROM {name}_t) GROUP BY ALL)"""
+    # letters as a list: substr would walk each text from its start
+    lists = [f"list_transform(range(1, greatest(len(c) - {n} + 2, 1)), lambda i: {' || '.join(f'c[i + {j}]' for j in range(n))})" for n in range(low, high + 1)]
+    return f"""{name}_t AS (SELECT {key}, string_split({norm(text)}, '') AS c FROM {source}),
+{name} AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(flatten([{', '.join(lists)}])) AS term FROM {name}_t) GROUP BY ALL)"""
 
 
 PART_TEXT = "coalesce(p_name, '') || ' ' || coalesce(p_brand, '') || ' ' || coalesce(p_type, '')"
