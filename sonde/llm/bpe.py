@@ -73,7 +73,7 @@ class MergeAutomaton:
         self.table.clear()  # answers given while rules were still missing
 
     def gadget(self, k: int, u: int, v: int, uv: int) -> None:
-        if not self.allows(u, v):
+        if u in self.dead or v in self.dead or not self.allows(u, v):
             self.dead.add(uv)  # no arc to bridge: the rule can never fire
             return
         to = self.target[v]

@@ -27,9 +27,11 @@ from sonde.llm.common import ship, table, texts
 
 BITS = 18
 #: Most labelled rows to fit on.
-SAMPLE = 6000
+SAMPLE = 12_000
 LEAST = 4
-STEPS = 150
+STEPS = 300
+#: Standard deviations by which a feature's grades must differ.
+CLEAR = 5.0
 #: Keep a document whose chance of the top grade is at least this.
 TAIL = 0.5
 MARKS = "!?#$%&*|<>=~^+_/\\@"
@@ -79,7 +81,7 @@ class CumulativeLink:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, least: int = LEAST, steps: int = STEPS, l2: float = 2e-3, rate: float = 0.05) -> CumulativeLink:
+    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, n_grades: int, least: int = LEAST, steps: int = STEPS, l2: float = 1e-4, rate: float = 0.05, clear_by: float = CLEAR) -> CumulativeLink:
         weights = np.zeros(1 << BITS)
         gaps = np.zeros(n_grades - 1)  # theta_0, then logs of the steps up: the order holds by construction
         if len(set(grades.tolist())) < 2:
@@ -93,8 +95,15 @@ class CumulativeLink:
         below = np.clip(np.cumsum(share)[:-1], 0.01, 0.99)
         theta = np.log(below / (1 - below))
         gaps[0], gaps[1:] = theta[0], np.log(np.maximum(np.diff(theta), 0.1))
-        balance = (1 / np.maximum(share, 1e-3))[grades]
-        balance /= balance.sum()
+        # score test: only features whose documents' grades differ from the rest by more than chance are fitted
+        ends = np.concatenate([[-np.inf], theta, [np.inf]])
+        upper, lower = sigmoid(ends[grades + 1]), sigmoid(ends[grades])
+        residual = lower + upper - 1  # the gradient by the score of each row, of a model without features
+        residual -= residual.mean()
+        z = np.bincount(index, residual[owner], len(names)) / np.sqrt(np.bincount(index, minlength=len(names)) * max((residual**2).mean(), 1e-9))
+        clear = np.abs(z) >= clear_by
+        owner, index, names = owner[clear[index]], (np.cumsum(clear) - 1)[index[clear[index]]], names[clear]
+        balance = np.full(len(rows), 1 / len(rows))
         w = np.zeros(len(names))
         state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(gaps), np.zeros_like(gaps)]
         for step in range(1, steps + 1):
@@ -104,7 +113,7 @@ class CumulativeLink:
             p = np.maximum(upper - lower, 1e-9)
             up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
             gz = balance * (up - low)
-            gw = np.bincount(index, gz[owner], len(names)) + l2 * w / len(names) * 10
+            gw = np.bincount(index, gz[owner], len(names)) + l2 * w
             gt = np.array([-(balance * up)[grades == k].sum() + (balance * low)[grades == k + 1].sum() for k in range(n_grades - 1)])
             gg = np.concatenate([[gt.sum()], [np.exp(gaps[k]) * gt[k:].sum() for k in range(1, n_grades - 1)]])
             for x, g, m, v in ((w, gw, state[0], state[1]), (gaps, gg, state[2], state[3])):
