@@ -21,12 +21,15 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonde.llm.bpe import LATIN, byte_alphabet
 from sonde.llm.common import documents, new_path, ship, staged
 
 MAGIC = b"SNDWM001"
@@ -41,43 +44,62 @@ class Encoder:
     """ids of whole texts as the tokenizers library gives them, with a table of blank-led chunks.
 
     The file's split pattern always breaks before a blank unless blanks stand on both its sides, so a text without such
-    places is the concatenation of its blank-led chunks; other texts, and those with special tokens, go to the library whole.
+    places is the concatenation of its blank-led chunks. A new chunk's pieces go to the library's BPE model; chunks with letters
+    beyond Latin, texts with doubled blanks and those with special tokens go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
+        self.bpe = self.tool.model
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.letters = {i: c for i, c in enumerate(byte_alphabet())}
+        self.split = regex.compile(public_tokenizers.PATTERN)
         self.cache: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        if max(text) > LATIN:
+            return self.whole(text)
+        out = []
+        for p in self.split.findall(text):
+            ids = self.pieces.get(p)
+            if ids is None:
+                if len(self.pieces) > CACHE:
+                    self.pieces.clear()
+                got = [t.id for t in self.bpe.tokenize(p.encode().decode("latin-1").translate(self.letters))]
+                ids = self.pieces[p] = struct.pack(f"<{len(got)}I", *got)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        split = [t.split(" ") for t in batch]
-        new = set()
-        for chunks in split:
-            new.update(chunks[1:])
-        new = [c for c in new if c not in cache and c and not c[0].isspace()]
-        for c, ids in zip(new, self.whole([" " + c for c in new]), strict=True):
-            cache[c] = ids
-        out, slow = [], []
-        for i, (text, chunks) in enumerate(zip(batch, split, strict=True)):
-            got = list(map(cache.get, chunks[1:]))
-            if None in got or any(s in text for s in self.special):
-                slow.append(i)
-                out.append(b"")
+        cache, out = self.cache, []
+        for text in batch:
+            if any(s in text for s in self.special):
+                out.append(self.whole(text))
+                continue
+            chunks = text.split(" ")
+            first, chunks = chunks[0], chunks[1:]
+            got = list(map(cache.get, chunks))
+            if None in got:
+                if len(cache) > CACHE:
+                    cache.clear()
+                for i, ids in enumerate(got):
+                    if ids is None:
+                        c = chunks[i]
+                        if not c or c[0].isspace():  # blanks in a row
+                            break
+                        got[i] = cache[c] = self.chunk(" " + c)
+                else:
+                    out.append((self.chunk(first) if first else b"") + b"".join(got))
+                    continue
+                out.append(self.whole(text))
             else:
-                out.append([chunks[0], b"".join(got)])
-        plain = [i for i, x in enumerate(out) if x]
-        for i, ids in zip(plain, self.whole([out[i][0] for i in plain]), strict=True):
-            out[i] = ids + out[i][1]
-        for i, ids in zip(slow, self.whole([batch[i] for i in slow]), strict=True):
-            out[i] = ids
+                out.append((self.chunk(first) if first else b"") + b"".join(got))
         return out
 
 
@@ -286,6 +308,4 @@ def read_files(files: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     return read_files(write_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "ids")))
