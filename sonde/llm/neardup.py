@@ -7,10 +7,10 @@ with chance at most 2*(1 - s**WIDTH)**COLLECTION: 4e-7 at 0.85, 1e-5 at 0.8.
 
 Plan: equal sets are one class, of which the least doc_id goes on. Keys that no second class has are dropped
 first, since no table can then join on them; the tables hold only what is left. In each table's bucket every class is
-paired with the bucket's least one and verified on full sets; the verified links' components are found; then the pairs in
-buckets between different components, which are all the links that could still matter, are verified, and the components
-found again. Pairs within a component are not listed: they change nothing. Full sets are made again for classes in
-pairs only. Nothing is collected to the driver; aggregates have map-side parts, joins can be split by adaptive execution.
+paired with the bucket's least one and verified on full sets; the verified links' components are found. Then links between
+different components of classes that buckets connect, which are all that could still matter, are verified too, found by a
+prefix filter that is exact for the threshold, and the components found again. Pairs within a component are not listed: they
+change nothing. Full sets are made again for classes in pairs only. Nothing is collected to the driver; aggregates have map-side parts, joins can be split by adaptive execution.
 
 Edge cases: a text with fewer words than five is one shingle, of all its words; null texts and texts without words have the
 empty set and no links; equal texts are linked; repeated doc_ids share a set row each and one component; empty tables give no rows;
@@ -131,6 +131,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("any")).select("a", "b")
 
 
+def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one cluster and different components that can be linked; no link is left out.
+
+    Two sets of n and m shingles that are linked share one of the first n - ceil(percent * n / 100) + 1 of the one and the
+    respective first of the other, in any order that holds for both. Here shingles that the cluster's first class does not
+    have come first: edited words, which near copies share with few others.
+    """
+    own = sets.select("rep", F.col("shingles").alias("own"))
+    first = sets.select(F.col("rep").alias("cluster"), F.col("shingles").alias("of_first"))
+    ordered = F.concat(F.array_except("own", "of_first"), F.array_intersect("own", "of_first"))
+    n = F.size("own")
+    front = F.slice(ordered, F.lit(1), (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int"))
+    rows = placed.join(own, "rep").join(first, "cluster").select("rep", "cluster", "component", n.alias("n"), F.explode(front).alias("s"))
+    rows = staged(rows, "prefixes")
+    shared = rows.groupBy("cluster", "s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cluster", "s")
+    some = staged(rows.join(shared, ["cluster", "s"]), "prefixes")
+    x, y = (some.select("cluster", "s", F.col("rep").alias(r), F.col("n").alias(f"n_{r}"), F.col("component").alias(f"c_{r}")) for r in "ab")
+    size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    return x.join(y, ["cluster", "s"]).where("a < b and c_a <> c_b").where(size).select("a", "b").distinct()
+
+
 def cluster(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -154,12 +175,11 @@ def cluster(docs: DataFrame, percent: int) -> DataFrame:
     links = staged(verified(stars, sets, percent), "links")
     found = components(links)
 
-    # what star pairs left open: pairs in one bucket between components
-    placed = members.select("key", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_rows = staged(placed.join(mixed_keys, "key"), "open")
-    x, y = (open_rows.select("key", F.col("rep").alias(r), F.col("n").alias(f"n_{r}"), F.col("component").alias(f"c_{r}")) for r in "ab")
-    rest = x.join(y, "key").where("a < b and c_a <> c_b").where(near(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    # what star pairs left open: links between components of one cluster, i.e. of classes that buckets connect
+    clusters = components(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    placed = clusters.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parted = placed.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cluster")
+    rest = prefix_pairs(staged(placed.join(parted, "cluster").select("rep", "cluster", "component"), "open"), sets, percent)
     more = staged(verified(rest, sets, percent), "links")
     if more.head(1):
         found = components(links.unionByName(more))
