@@ -22,20 +22,21 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, ShortType, StructField, StructType
 
 from sonde.llm.common import documents, ship, staged
 
 LENGTH, ANCHOR = 100, 32
 HALF = (LENGTH - ANCHOR) // 2
 #: Stretches sorted together at most; a larger anchor group is dealt out in parts.
-GROUP = 64
+GROUP = 256
 #: Most ids that are broadcast as a filter of the texts; beyond, it is a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -190,38 +191,38 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     def find(batches):
         for b in batches:
-            take, hashes, places = [], [], []
+            take, found = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                h, _, _, place = anchors(t.encode())
-                take.append(np.full(len(h), i))
-                hashes.append(h)
-                places.append(place)
+                found.append(anchors(t.encode()))
+                take.append(np.full(len(found[-1][0]), i))
             if take:
                 where = np.concatenate(take).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where)), pa.array(np.concatenate(hashes), pa.int64()), pa.array(np.concatenate(places).astype(np.int32))], ["doc", "h", "place"])
+                h, lo, hi, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where)), pa.array(h), pa.array(lo.astype(np.int32)), pa.array((hi - lo + 1).astype(np.int16)), pa.array((place - lo).astype(np.int16))], ["doc", "h", "first", "n", "at"])
 
     long_texts = docs.where(F.octet_length("text") >= LENGTH)
-    schema = StructType([StructField("doc", key), StructField("h", LongType()), StructField("place", IntegerType())])
+    schema = StructType([StructField("doc", key), StructField("h", LongType()), StructField("first", IntegerType()), StructField("n", ShortType()), StructField("at", ShortType())])
     found = staged(long_texts.select("doc", "text").mapInArrow(find, schema), "anchors")
     often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     parts = F.ceil(F.col("c") / GROUP).cast("int")
-    flagged = found.join(often, "h").groupBy("doc").agg(F.collect_list(F.struct("place", "h", parts.alias("parts"))).alias("at"))
+    flagged = found.join(often, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "first", "n", "at", parts.alias("parts"))).alias("at"))
     flagged = staged(flagged, "flagged")
 
     def cut(batches):
         kinds = {"h": pa.int64(), "part": pa.int32(), "parts": pa.int32(), "first": pa.int32(), "n": pa.int32(), "at": pa.int32(), "bytes": pa.binary()}
         for b in batches:
             take, out = [], {k: [] for k in kinds}
-            for i, (t, at) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                wanted = {x["place"]: x["parts"] for x in at}
+            lists = b.column(2)
+            sizes, flat = lists.value_lengths().to_pylist(), lists.flatten()
+            rows = zip(*(flat.field(k).to_pylist() for k in ("h", "first", "n", "at", "parts")), strict=True)
+            for i, (t, size) in enumerate(zip(b.column(1).to_pylist(), sizes, strict=True)):
                 data = t.encode()
-                for h, lo, hi, place in zip(*(x.tolist() for x in anchors(data)), strict=True):
-                    parts = wanted.get(place)
-                    if parts:
-                        take.append(i)
-                        stretch = data[lo : hi + LENGTH]
-                        for k, v in zip(kinds, (h, xxhash.xxh32_intdigest(stretch + lo.to_bytes(8, "little")) % parts, parts, lo, hi - lo + 1, place - lo, stretch), strict=True):
-                            out[k].append(v)
+                for h, first, n, at, parts in islice(rows, size):
+                    take.append(i)
+                    stretch = data[first : first + n - 1 + LENGTH]
+                    part = xxhash.xxh32_intdigest(stretch + first.to_bytes(8, "little")) % parts if parts > 1 else 0
+                    for k, v in zip(kinds, (h, part, parts, first, n, at, stretch), strict=True):
+                        out[k].append(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *[pa.array(out[k], t) for k, t in kinds.items()]], ["doc", *kinds])
 
     texts = filtered(long_texts.select("doc", "text"), flagged.select("doc")).join(flagged, "doc")
@@ -262,12 +263,14 @@ def repeated(docs: DataFrame) -> DataFrame:
                     yield doc, first + begin, first + n - 1 + LENGTH, None, None
 
         def pack(rows, kind):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), *[pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(kinds.values())]], ["doc", *kinds])
+            doc = pa.StructArray.from_arrays([pa.array([r[0][i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
+            return pa.RecordBatch.from_arrays([doc, *[pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(kinds.values())]], ["doc", *kinds])
 
         kind, rows = None, []
         for b in batches:
             kind = b.schema.field("doc").type
-            for h, part, doc, first, parts, n, data, place in zip(*(b.column(c).to_pylist() for c in ("h", "part", "doc", "first", "parts", "n", "bytes", "at")), strict=True):
+            docs_of = zip(*(f.to_pylist() for f in b.column("doc").flatten()), strict=True)
+            for doc, h, part, first, parts, n, data, place in zip(docs_of, *(b.column(c).to_pylist() for c in ("h", "part", "first", "parts", "n", "bytes", "at")), strict=True):
                 if at != (h, part):
                     if held:
                         rows += close(held)
@@ -307,14 +310,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
     whole = F.sha2(F.encode("text", "UTF-8"), 256)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", whole)
-    marks = staged(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "marks")
-    first = marks.groupBy("sha").agg(F.min(F.struct("doc_id", "sha")).alias("doc"))
-    keys = staged(marks.join(first, "sha").select("doc_id", "sha", "n_bytes", "doc"), "keys")
-    originals = rows.select(F.struct("doc_id", "sha").alias("doc"), "text")
-    copies = keys.where("not (struct(doc_id, sha) <=> doc)").select(F.struct("doc_id", "sha").alias("doc")).distinct()
+    # rows of one doc_id are told apart by the first 60 bits of their text's digest
+    tag = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("tag")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", whole).withColumn("doc", F.struct("doc_id", tag))
+    marks = staged(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes"), F.col("doc").alias("me")), "marks")
+    first = marks.groupBy("sha").agg(F.min("me").alias("doc"))
+    keys = staged(marks.join(first, "sha").select("doc_id", "sha", "n_bytes", "me", "doc"), "keys")
+    originals = rows.select("doc", "text")
+    copies = keys.where("not (me <=> doc)").select(F.col("me").alias("doc")).distinct()
     copies = staged(copies, "copies")
     kept = originals.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc", "left_anti")
+    twice = staged(marks.groupBy(F.col("me").alias("doc")).agg(F.count("*").alias("c")).where("c > 1").select("doc"), "twice")
+    if twice.head(1):
+        again = kept.join(twice, "doc", "left_semi").dropDuplicates(["doc"])
+        kept = kept.join(twice, "doc", "left_anti").unionByName(again)
     spans = staged(repeated(kept), "removals")
     ids = spans.select("doc")
 
@@ -333,7 +342,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     schema = spans.select("doc").withColumns({"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.lit("")}).schema
     cut = filtered(kept, ids).join(spans, "doc").select("doc", "text", "spans").mapInArrow(remove, schema).dropDuplicates(["doc"])
-    out = keys.withColumn("me", F.struct("doc_id", "sha")).join(cut.withColumnRenamed("doc", "me"), "me", "left")
+    out = keys.join(cut.withColumnRenamed("doc", "me"), "me", "left")
     copy = ~F.col("me").eqNullSafe(F.col("doc")) & (F.col("n_bytes") >= LENGTH)
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(
