@@ -136,20 +136,26 @@ def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Two sets of n and m shingles that are linked share one of the first n - ceil(percent * n / 100) + 1 of the one and the
     respective first of the other, in any order that holds for both. Here shingles that the cluster's first class does not
-    have come first: edited words, which near copies share with few others.
+    have come first: edited words, which near copies share with few others. So a linked pair that shares an edited shingle
+    shares one in front; one that does not meets within the first class alone, which bounds its similarity.
     """
     own = sets.select("rep", F.col("shingles").alias("own"))
     first = sets.select(F.col("rep").alias("cluster"), F.col("shingles").alias("of_first"))
-    ordered = F.concat(F.array_except("own", "of_first"), F.array_intersect("own", "of_first"))
+    edited, common = F.array_except("own", "of_first"), F.array_intersect("own", "of_first")
+    mark = lambda part, flag: F.transform(part, lambda s: F.struct(s.alias("s"), F.lit(flag).alias("edited")))
+    ordered = F.concat(mark(edited, True), mark(common, False))
     n = F.size("own")
     front = F.slice(ordered, F.lit(1), (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int"))
-    rows = placed.join(own, "rep").join(first, "cluster").select("rep", "cluster", "component", n.alias("n"), F.explode(front).alias("s"))
+    rows = placed.join(own, "rep").join(first, "cluster").select("rep", "cluster", "component", n.alias("n"), F.size(common).alias("m"), F.explode(front).alias("f")).select("*", "f.*").drop("f")
     rows = staged(rows, "prefixes")
     shared = rows.groupBy("cluster", "s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cluster", "s")
     some = staged(rows.join(shared, ["cluster", "s"]), "prefixes")
-    x, y = (some.select("cluster", "s", F.col("rep").alias(r), F.col("n").alias(f"n_{r}"), F.col("component").alias(f"c_{r}")) for r in "ab")
+    x, y = (some.select("cluster", "s", *(["edited"] if r == "a" else []), F.col("rep").alias(r), F.col("n").alias(f"n_{r}"), F.col("m").alias(f"m_{r}"), F.col("component").alias(f"c_{r}")) for r in "ab")
+    # without a shared edited word the sets meet within the first class only
+    most = F.least("m_a", "m_b")
+    close = F.col("edited") | (F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most))
     size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    return x.join(y, ["cluster", "s"]).where("a < b and c_a <> c_b").where(size).select("a", "b").distinct()
+    return x.join(y, ["cluster", "s"]).where("a < b and c_a <> c_b").where(size).where(close).select("a", "b").distinct()
 
 
 def cluster(docs: DataFrame, percent: int) -> DataFrame:
