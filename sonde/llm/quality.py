@@ -6,7 +6,8 @@ table bars, repeats). The expected grade is the sum of P(grade > k); documents a
 
 Grades come from ``labels``: 0 toxic, 1 neither toxic nor good, 2 good. The model is fitted on the driver on at most ``sample``
 labelled rows, those with the lowest hash of doc_id, by a fixed number of full-gradient steps from zero, so it is a function
-of its rows. Words in fewer than ``least`` of them keep weight 0.
+of its rows. Words in fewer than ``least`` of them, and
+features that no score test tells from chance, keep weight 0.
 
 Edge cases: null and empty texts have shape features only; rows without a usable label are not fitted on, but scored; with
 fewer than two grades among the labels nothing is fitted and every document is kept; repeated rows are scored each; empty
@@ -95,13 +96,12 @@ class CumulativeLink:
         below = np.clip(np.cumsum(share)[:-1], 0.01, 0.99)
         theta = np.log(below / (1 - below))
         gaps[0], gaps[1:] = theta[0], np.log(np.maximum(np.diff(theta), 0.1))
-        # score test: only features whose documents' grades differ from the rest by more than chance are fitted
-        ends = np.concatenate([[-np.inf], theta, [np.inf]])
-        upper, lower = sigmoid(ends[grades + 1]), sigmoid(ends[grades])
-        residual = lower + upper - 1  # the gradient by the score of each row, of a model without features
-        residual -= residual.mean()
-        z = np.bincount(index, residual[owner], len(names)) / np.sqrt(np.bincount(index, minlength=len(names)) * max((residual**2).mean(), 1e-9))
-        clear = np.abs(z) >= clear_by
+        # score tests, one per threshold: only features whose documents' grades differ from the rest by more than chance are fitted
+        clear = np.zeros(len(names), bool)
+        for k in range(n_grades - 1):
+            residual = (grades > k) - (grades > k).mean()
+            z = np.bincount(index, residual[owner], len(names)) / np.sqrt(np.bincount(index, minlength=len(names)) * max((residual**2).mean(), 1e-9))
+            clear |= np.abs(z) >= clear_by
         owner, index, names = owner[clear[index]], (np.cumsum(clear) - 1)[index[clear[index]]], names[clear]
         balance = np.full(len(rows), 1 / len(rows))
         w = np.zeros(len(names))
