@@ -8,8 +8,8 @@ with chance at most 2*(1 - s**WIDTH)**COLLECTION: 4e-7 at 0.85, 1e-5 at 0.8.
 Plan: equal sets are one class, of which the least doc_id goes on. Keys that no second class has are dropped
 first, since no table can then join on them; the tables hold only what is left. In each table's bucket every class is
 paired with the bucket's least one and verified on full sets; the verified links' components are found. Then links between
-different components of classes that buckets connect, which are all that could still matter, are verified too, found by a
-prefix filter that is exact for the threshold, and the components found again. Pairs within a component are not listed: they
+different components of classes that buckets connect, which are all that could still matter, are looked for among all pairs
+of such a cluster, in blocks of two chunks of sets that never list a pair, and the components found again. Pairs within a component are not listed: they
 change nothing. Full sets are made again for classes in pairs only. Nothing is collected to the driver; aggregates have map-side parts, joins can be split by adaptive execution.
 
 Edge cases: a text with fewer words than five is one shingle, of all its words; null texts and texts without words have the
@@ -32,6 +32,8 @@ SIZE = 5
 COLLECTION, WIDTH = 12, 2
 #: Most classes whose ids are broadcast as a filter of the second pass; beyond, it is a shuffle join.
 BROADCAST_IDS = 1_000_000
+#: Sets of one cluster that a task compares with as many others.
+CHUNK = 1024
 CACHE = 600_000
 _rng = np.random.default_rng(20240607)
 ODD = _rng.integers(0, 1 << 63, 2 * COLLECTION * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,31 +133,73 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("any")).select("a", "b")
 
 
-def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one cluster and different components that can be linked; no link is left out.
+def block_links(reps: list[int], components: list[int], sides: list[bool], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components among these sets, as many as join them; of pairs with both sides set only, where there are two.
 
-    Two sets of n and m shingles that are linked share one of the first n - ceil(percent * n / 100) + 1 of the one and the
-    respective first of the other, in any order that holds for both. Here shingles that the cluster's first class does not
-    have come first: edited words, which near copies share with few others. So a linked pair that shares an edited shingle
-    shares one in front; one that does not meets within the first class alone, which bounds its similarity.
+    Each set is counted against all others by the postings of its shingles: exact, and no pair takes memory or a row.
     """
-    own = sets.select("rep", F.col("shingles").alias("own"))
-    first = sets.select(F.col("rep").alias("cluster"), F.col("shingles").alias("of_first"))
-    edited, common = F.array_except("own", "of_first"), F.array_intersect("own", "of_first")
-    mark = lambda part, flag: F.transform(part, lambda s: F.struct(s.alias("s"), F.lit(flag).alias("edited")))
-    ordered = F.concat(mark(edited, True), mark(common, False))
-    n = F.size("own")
-    front = F.slice(ordered, F.lit(1), (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int"))
-    rows = placed.join(own, "rep").join(first, "cluster").select("rep", "cluster", "component", n.alias("n"), F.size(common).alias("m"), F.explode(front).alias("f")).select("*", "f.*").drop("f")
-    rows = staged(rows, "prefixes")
-    shared = rows.groupBy("cluster", "s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cluster", "s")
-    some = staged(rows.join(shared, ["cluster", "s"]), "prefixes")
-    x, y = (some.select("cluster", "s", *(["edited"] if r == "a" else []), F.col("rep").alias(r), F.col("n").alias(f"n_{r}"), F.col("m").alias(f"m_{r}"), F.col("component").alias(f"c_{r}")) for r in "ab")
-    # without a shared edited word the sets meet within the first class only
-    most = F.least("m_a", "m_b")
-    close = F.col("edited") | (F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most))
-    size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    return x.join(y, ["cluster", "s"]).where("a < b and c_a <> c_b").where(size).where(close).select("a", "b").distinct()
+    n = np.array([len(x) for x in sets])
+    names, word = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    by = np.argsort(word, kind="stable")
+    posting = owner[by]
+    ptr = np.searchsorted(word[by], np.arange(len(names) + 1))
+    start = np.concatenate([[0], np.cumsum(n)])
+    side, group = np.array(sides), {c: c for c in components}
+    two = side.any() and not side.all()
+
+    def root(c: int) -> int:
+        while group[c] != c:
+            group[c] = group[group[c]]
+            c = group[c]
+        return c
+
+    out = []
+    for x in range(len(sets)):
+        if two and side[x]:
+            continue
+        mine = word[start[x] : start[x + 1]]
+        size = ptr[mine + 1] - ptr[mine]
+        both = np.bincount(posting[np.repeat(ptr[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(sets))
+        near = 100 * both >= percent * (n[x] + n - both)
+        for y in np.flatnonzero(near & (side != side[x]) if two else near).tolist():
+            a, b = root(components[x]), root(components[y])
+            if a != b:
+                group[max(a, b)] = min(a, b)
+                out.append((min(reps[x], reps[y]), max(reps[x], reps[y])))
+    return out
+
+
+def cluster_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster: every pair is compared, in blocks of two chunks of CHUNK sets."""
+    chunks = placed.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    rows = placed.join(chunks, "cluster").withColumn("c", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("cluster", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "component", (F.col("c") > F.col("o")).alias("side"))
+
+    def run(batches):
+        at, held = None, ([], [], [], [])
+
+        def close():
+            found = block_links(*held, percent) if len(set(held[1])) > 1 else []
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            shingles = b.column(6)
+            ends, flat = np.cumsum([0, *shingles.value_lengths().to_pylist()]), shingles.flatten().to_numpy(zero_copy_only=False)
+            for k, (c, i, j, rep, component, side) in enumerate(zip(*(b.column(x).to_pylist() for x in range(6)), strict=True)):
+                if at is not None and at != (c, i, j):
+                    yield close()
+                at = (c, i, j)
+                for x, v in zip(held, (rep, component, side, flat[ends[k] : ends[k + 1]]), strict=True):
+                    x.append(v)
+        if at is not None:
+            yield close()
+
+    dealt = rows.join(sets, "rep").select("cluster", "i", "j", "rep", "component", "side", "shingles").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def cluster(docs: DataFrame, percent: int) -> DataFrame:
@@ -185,8 +229,8 @@ def cluster(docs: DataFrame, percent: int) -> DataFrame:
     clusters = components(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     placed = clusters.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parted = placed.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cluster")
-    rest = prefix_pairs(staged(placed.join(parted, "cluster").select("rep", "cluster", "component"), "open"), sets, percent)
-    more = staged(verified(rest, sets, percent), "links")
+    open_rows = staged(placed.join(parted, "cluster").select("rep", "cluster", "component"), "open")
+    more = staged(cluster_links(open_rows, sets, percent), "links")
     if more.head(1):
         found = components(links.unionByName(more))
 

@@ -28,7 +28,7 @@ from sonde.llm.common import ship, table, texts
 
 BITS = 18
 #: Most labelled rows to fit on.
-SAMPLE = 12_000
+SAMPLE = 8000
 LEAST = 4
 STEPS = 300
 #: Standard deviations by which a feature's grades must differ.

@@ -153,8 +153,10 @@ def test_near_duplicates_against_brute_force(docs, percent):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in of if of[i] == i}
 
 
-def test_near_duplicates_between_parted_components(spark):
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_near_duplicates_between_parted_components(spark, monkeypatch, chunk):
     """A chain of near copies whose ends are unlike, and unlinked neighbours in one cluster."""
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
     rng = random.Random(2)
     w = [rng.choice(WORDS) + str(i) for i in range(200)]
     rows = []
