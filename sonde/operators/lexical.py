@@ -125,11 +125,19 @@ class BM25(Lexical):
 
     def weights(self, terms: DataFrame | None = None) -> DataFrame:
         """key, term, weight of the whole index, or of ``terms`` only: a term's weights depend on that term's postings alone."""
-        out = reduce(DataFrame.unionByName, [self.batch_weights(i, terms) for i in range(len(self.batches))])
-        if self.norm:
-            by = ["batch", "term"] if self.norm == "batch" else ["term"]
+        parts = [self.batch_weights(i, terms) for i in range(len(self.batches))]
+
+        def unit(rows: DataFrame, by: list[str]) -> DataFrame:
             length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*by)))
-            out = out.withColumn("weight", F.when(length > 0, F.col("weight") / length).otherwise(0.0))
+            return rows.withColumn("weight", F.when(length > 0, F.col("weight") / length).otherwise(0.0))
+
+        if self.norm == "global":  # each add scales old, already scaled postings and new ones together
+            out = unit(parts[0], ["term"])
+            for part in parts[1:]:
+                out = unit(out.unionByName(part), ["term"])
+        else:
+            out = reduce(DataFrame.unionByName, parts)
+            out = unit(out, ["batch", "term"]) if self.norm else out
         return out.select(self.key, "term", "weight")
 
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:

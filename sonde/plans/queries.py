@@ -188,9 +188,15 @@ def s_bm25(name: str, batches: list[str], counts: str, low: int = 3, high: int =
     union = " UNION ALL ".join(f"SELECT * FROM {name}_w{i}" for i in range(len(batches)))
     if norm_by is None:
         out.append(f"{name} AS (SELECT doc_id, term, weight FROM ({union}))")
+    elif norm_by == "global":
+        length = "sqrt(sum(weight * weight) OVER (PARTITION BY term))"
+        before = ""
+        for i in range(len(batches)):
+            last = i == len(batches) - 1
+            out.append(f"{name if last else f'{name}_u{i}'} AS (SELECT doc_id, term, CASE WHEN {length} > 0 THEN weight / {length} ELSE 0 END AS weight FROM ({before}SELECT doc_id, term, weight FROM {name}_w{i}))")
+            before = f"SELECT * FROM {name}_u{i} UNION ALL "
     else:
-        by = "batch, term" if norm_by == "batch" else "term"
-        length = f"sqrt(sum(weight * weight) OVER (PARTITION BY {by}))"
+        length = "sqrt(sum(weight * weight) OVER (PARTITION BY batch, term))"
         out.append(f"{name} AS (SELECT doc_id, term, CASE WHEN {length} > 0 THEN weight / {length} ELSE 0 END AS weight FROM ({union}))")
     return ",\n".join(out)
 
