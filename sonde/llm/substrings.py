@@ -8,7 +8,7 @@ suffix s, s-1 and its chain of previous smaller suffixes at the front of their g
 
 Only text that can repeat is sorted. Every string of LENGTH bytes has one anchor, the leftmost least-hashed ANCHOR-byte string
 in it; equal strings have equal anchors at equal places. So strings are dealt by anchor hash, anchors that occur once are left
-out, starts next to which no second member of the group has the same bytes too, and each remaining group's distinct
+out, starts whose bytes before or after the anchor no second member of the group has too, and each remaining group's distinct
 stretches of text are sorted together; equal neighbours in its suffix array are the equal
 strings, of which the one that starts first stays. Equal documents are set aside first: all of a later copy goes.
 Groups over GROUP members are dealt out in parts; what is first in its part is compared across parts by a 128-bit
@@ -21,8 +21,7 @@ are one document and get equal rows, other rows with one doc_id are ordered by t
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,6 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, ShortType, Stru
 from sonde.llm.common import documents, ship, staged
 
 LENGTH, ANCHOR = 100, 32
-HALF = (LENGTH - ANCHOR) // 2
 #: Stretches sorted together at most; a larger anchor group is dealt out in parts.
 GROUP = 256
 #: Most ids that are broadcast as a filter of the texts; beyond, it is a shuffle join.
@@ -133,19 +131,30 @@ def repeats(stretches: list[tuple[bytes, int]]) -> list[bytearray]:
     return [again[at : at + n] for (at, _), (_, n) in zip(base, stretches, strict=True)]
 
 
+def shared(sides: list[bytes]) -> list[int]:
+    """By string, the length of the longest prefix that it has in common with another one of the list."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for a, b in pairwise(order):  # the longest is had with a neighbour in the sorted order
+        x, y = sides[a], sides[b]
+        n = min(len(x), len(y))
+        differ = int.from_bytes(x[:n]) ^ int.from_bytes(y[:n])
+        n -= (differ.bit_length() + 7) // 8
+        out[a], out[b] = max(out[a], n), max(out[b], n)
+    return out
+
+
 def narrowed(group: list[tuple]) -> list[tuple]:
     """The group without the starts of strings that cannot repeat in it.
 
-    A string that starts HALF or more before the anchor holds the HALF bytes before it, another one the HALF bytes after it:
-    where no other member has these bytes next to the anchor, it is the only one of its kind.
+    Equal strings have their anchor at one place, so a string repeats only if some member has its bytes before the anchor
+    and some member its bytes after it.
     """
-    before = Counter(g[3][g[5] - HALF : g[5]] for g in group if g[5] >= HALF)
-    after = Counter(g[3][g[5] + ANCHOR : g[5] + ANCHOR + HALF] for g in group)
+    before = shared([g[3][: g[5]][::-1] for g in group])
+    after = shared([g[3][g[5] + ANCHOR :] for g in group])
     out = []
-    for doc, first, parts, data, n, at in group:
-        split = min(n, max(0, at - HALF + 1))  # starts below it are HALF or more before the anchor
-        a = 0 if split and before[data[at - HALF : at]] > 1 else split
-        b = n if after[data[at + ANCHOR : at + ANCHOR + HALF]] > 1 else split
+    for (doc, first, parts, data, n, at), left, right in zip(group, before, after, strict=True):
+        a, b = max(0, at - left), min(n, at + right - (LENGTH - ANCHOR) + 1)
         if a < b:
             out.append((doc, first + a, parts, data[a : b - 1 + LENGTH], b - a, at - a))
     return out
