@@ -108,6 +108,30 @@ def test_suffix_array():
         assert substrings.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_narrowed_keeps_every_string_that_repeats_and_drops_what_cannot():
+    rng, size = random.Random(5), substrings.LENGTH - substrings.ANCHOR
+    for _ in range(200):
+        sides = [bytes(rng.choice(b"ab") for _ in range(2 * size)) for _ in range(2)]
+        group = []
+        for doc in range(rng.randint(2, 5)):
+            left, right = (bytearray(rng.choice(sides)[:size]) for _ in range(2))
+            for side in (left, right):
+                for _ in range(rng.randint(0, 2)):
+                    side[rng.randrange(size)] = 99
+            lead = rng.randint(0, size)  # bytes kept before and after the anchor: the stretch holds all their windows
+            tail = rng.randint(size - lead, size)
+            data = bytes(left[size - lead :]) + b"x" * substrings.ANCHOR + bytes(right[:tail])
+            group.append(((doc, 0), 7, 1, data, len(data) - substrings.LENGTH + 1, lead))
+        windows = lambda rows: [(doc, first + k, d[k : k + substrings.LENGTH]) for doc, first, _, d, n, _ in rows for k in range(n)]
+        before, after = windows(group), windows(substrings.narrowed(group))
+        assert set(after) <= set(before)
+        seen = Counter(w for _, _, w in before)
+        assert {x for x in before if seen[x[2]] > 1} <= set(after)
+        if len(group) == 2:  # with one partner, nothing else is left
+            assert all(seen[w] > 1 for _, _, w in after)
+    assert substrings.shared([b"abc", b"abd", b"", b"abc"]) == [3, 2, 0, 3]
+
+
 def test_substrings_against_brute_force(docs, monkeypatch):
     for group in (256, 3):  # 3: groups are dealt out in parts
         monkeypatch.setattr(substrings, "GROUP", group)
