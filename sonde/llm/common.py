@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: texts can be long, so batches are kept short to bound a worker's memory.
 BATCH_ROWS = 512
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 _own_dir: list[str] = []
 
@@ -76,8 +77,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage in a way that outlives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage in a way that outlives lost executors.
+
+    The shuffle files of the step go as soon as its rows are written; nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
