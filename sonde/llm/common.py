@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: texts can be long, so batches are kept short to bound a worker's memory.
 BATCH_ROWS = 512
+#: A key with more than this part of a table's rows is hot; so there are at most as many hot keys, which bounds their broadcast.
+HOT_KEYS = 1024
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 _own_dir: list[str] = []
@@ -90,3 +92,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_join(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, by: list[str]) -> DataFrame:
+    """``rows`` left-joined on ``keys`` with ``counted``: one row per key, with c, how many of the ``total`` rows have it.
+
+    Hot keys (at most HOT_KEYS, by their count) are looked up in a broadcast. Their rows, and rows whose key has a null, are
+    dealt out by ``by`` in the join of the others, so no task gets all rows of a key.
+    """
+    values = [c for c in counted.columns if c not in keys]
+    hot = counted.where(F.col("c") > max(total // HOT_KEYS, 64)).select(*keys, F.struct(*values).alias("hot"))
+    zero = F.least(F.col("c"), F.lit(0)).cast("int")  # not a literal: the optimizer would take that out of the key
+    cold = counted.select(*keys, zero.alias("salt"), F.struct(*values).alias("cold"))
+    alone = F.col("hot").isNotNull()
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(alone, 1 + F.pmod(F.xxhash64(*by), F.lit(HOT_KEYS)).cast("int")).otherwise(0))
+    joined = salted.join(cold, [*keys, "salt"], "left").withColumn("found", F.coalesce("hot", "cold"))
+    return joined.select(*rows.columns, *[F.col("found")[v].alias(v) for v in values])

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import staged
+from sonde.llm.common import spread_join, staged
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's greater (large) or smaller neighbours, and itself, to the least node around it."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Link each node's greater (large) or smaller neighbours, and itself, to the least node around it; a hub's links are dealt out."""
     if large:
         around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = around.join(least, "a")
+    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c"))
+    joined = spread_join(around, least, ["a"], total, ["b"])
     moved = joined.where("b > a") if large else joined
     out = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
     seen = mark(now)
     while seen[0]:
-        now = staged(_star(_star(now, True), False), "edges")
+        now = staged(_star(_star(now, True, seen[0]), False, seen[0]), "edges")
         new = mark(now)
         if new == seen:
             break

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm.common import documents, ship, staged, texts
+from sonde.llm.common import documents, ship, spread_join, staged, texts
 from sonde.llm.components import components
 
 SIZE = 5
@@ -204,10 +204,9 @@ def cluster_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def cluster(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of ``docs``."""
-    spark = docs.sparkSession
     sketch = staged(sketches(docs), "sketches")
     full = sketch.where("hi is not null and doc_id is not null")
-    classes = staged(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = staged(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("c")), "classes")
 
     # keys that two classes share, per collection; then the tables among those
     single = classes.select("rep", "n", F.posexplode("keys").alias("place", "key"))
@@ -234,9 +233,8 @@ def cluster(docs: DataFrame, percent: int) -> DataFrame:
     if more.head(1):
         found = components(links.unionByName(more))
 
-    of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
-    del spark
-    return sketch.join(of_class, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", "c", F.coalesce("component", "rep").alias("component"))
+    return spread_join(sketch.select("doc_id", "n_shingles", "hi", "lo"), of_class, ["hi", "lo"], sketch.count(), ["doc_id"]).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
