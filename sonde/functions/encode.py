@@ -12,35 +12,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Word vectors a HashingEncoder keeps, and letters whose matrices are handed over at a time.
+KNOWN_WORDS, GROUP_CHARS = 100_000, 400_000
+
+
 class Encoder(Protocol):
     def encode(self, texts: list[str]) -> list[np.ndarray]: ...
 
 
 class HashingEncoder:
-    """A model-free encoder: each word a fixed pseudo-random unit vector, cut and padded with zero vectors to ``tokens`` rows."""
+    """A model-free encoder: each word a fixed pseudo-random unit vector.
 
-    def __init__(self, dim: int = 16, tokens: int = 32):
+    A matrix is cut and padded with zero vectors to ``tokens`` rows; with None it has a row for each word.
+    """
+
+    def __init__(self, dim: int = 16, tokens: int | None = 32):
         self.dim, self.tokens = dim, tokens
+        self.known: dict[str, np.ndarray] = {}
+
+    def vector(self, word: str) -> np.ndarray:
+        v = self.known.get(word)
+        if v is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            v = np.random.default_rng(zlib.crc32(word.encode())).standard_normal(self.dim)
+            v = self.known[word] = (v / np.linalg.norm(v)).astype(np.float32)
+        return v
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            m = np.zeros((self.tokens, self.dim), np.float32)
-            for i, w in enumerate(text.split()[: self.tokens]):
-                v = np.random.default_rng(zlib.crc32(w.encode())).standard_normal(self.dim)
-                m[i] = v / np.linalg.norm(v)
+            words = text.split()[: self.tokens]
+            m = np.zeros((len(words) if self.tokens is None else self.tokens, self.dim), np.float32)
+            for i, w in enumerate(words):
+                m[i] = self.vector(w)
             out.append(m)
         return out
 
 
-def encode(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder], prefix: str = "") -> DataFrame:
-    """key, matrix (array<array<float>>). Each distinct text is encoded once and handed to all its keys."""
+def groups(contents: list[str]) -> Iterator[list[str]]:
+    """Texts in groups of at most GROUP_CHARS letters, or of one text."""
+    group, chars = [], 0
+    for c in contents:
+        if group and chars + len(c) > GROUP_CHARS:
+            yield group
+            group, chars = [], 0
+        group.append(c)
+        chars += len(c)
+    if group:
+        yield group
+
+
+def encode(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder], prefix: str = "", of: dict[str, Column] | None = None) -> DataFrame:
+    """key, matrix (array<array<float>>). Each distinct text is encoded once and handed to all its keys.
+
+    With ``of``, key and these columns of ``matrix`` instead, computed before the matrix would be shuffled.
+    """
     rows = docs.select(F.col(key), F.concat(F.lit(prefix), text).alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in batches:
-            yield pd.DataFrame({"content": b["content"], "matrix": [[r.tolist() for r in m] for m in model.encode(b["content"].tolist())]})
+            for group in groups(b["content"].tolist()):
+                yield pd.DataFrame({"content": group, "matrix": [list(m) for m in model.encode(group)]})
 
     distinct = rows.select("content").distinct().mapInPandas(run, "content string, matrix array<array<float>>")
-    return rows.join(distinct, "content").select(key, "matrix")
+    if of:
+        distinct = distinct.select("content", *[c.alias(name) for name, c in of.items()])
+    return rows.join(distinct, "content").select(key, *(of or ["matrix"]))

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -193,6 +194,19 @@ def test_distinct_texts_are_encoded_once(spark):
     assert np.allclose(np.linalg.norm(np.array(got[1]), axis=1), [1, 1, 0])
 
 
+def test_encoding_takes_all_words(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in QUERIES["encode_map_in_pandas"](spark, sf).collect()}
+    assert len(got) == len(texts) and max(r.n_tokens for r in got.values()) > 1000
+    for i, t in texts.items():
+        words = ["[D]", *t.split()]
+        want = np.zeros(16)
+        for w in words:
+            v = np.random.default_rng(zlib.crc32(w.encode())).standard_normal(16)
+            want += (v / np.linalg.norm(v)).astype(np.float32)
+        assert got[i].n_tokens == len(words) and np.allclose(got[i].total, want, atol=1e-3)
+
+
 def test_dot_and_floor(spark):
     df = spark.createDataFrame([([1.0, 2.0], [[-1.0, -1.0]])], "a array<double>, m array<array<double>>")
     row = df.select(dot(F.col("a"), F.col("a")), max_sim(F.array("a"), F.col("m")), max_sim(F.array("a"), F.col("m"), True)).head()
