@@ -63,20 +63,21 @@ def groups(contents: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def encode(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder], prefix: str = "", of: dict[str, Column] | None = None) -> DataFrame:
+def encode(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder], prefix: str = "", of: Callable[[np.ndarray], tuple] | None = None, schema: str = "matrix array<array<float>>") -> DataFrame:
     """key, matrix (array<array<float>>). Each distinct text is encoded once and handed to all its keys.
 
-    With ``of``, key and these columns of ``matrix`` instead, computed before the matrix would be shuffled.
+    With ``of``, key and the columns of ``schema`` that it makes of each whole matrix, which then stays in its worker.
     """
     rows = docs.select(F.col(key), F.concat(F.lit(prefix), text).alias("content"))
 
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in batches:
             for group in groups(b["content"].tolist()):
-                yield pd.DataFrame({"content": group, "matrix": [list(m) for m in model.encode(group)]})
+                made = [of(m) if of else (list(m),) for m in model.encode(group)]
+                yield pd.DataFrame({"content": group} | {n: [r[i] for r in made] for i, n in enumerate(names)})
 
-    distinct = rows.select("content").distinct().mapInPandas(run, "content string, matrix array<array<float>>")
-    if of:
-        distinct = distinct.select("content", *[c.alias(name) for name, c in of.items()])
-    return rows.join(distinct, "content").select(key, *(of or ["matrix"]))
+    distinct = rows.select("content").distinct().mapInPandas(run, f"content string, {schema}")
+    return rows.join(distinct, "content").select(key, *names)

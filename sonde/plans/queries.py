@@ -753,9 +753,8 @@ def epochs(spark, d):
 @register()
 def encode_map_in_pandas(spark, d):
     """doc_id, n_tokens (the words of a text and its prefix) and total, the sum of all rows of its matrix."""
-    add = lambda s, row: F.zip_with(s, row, lambda x, y: x + y.cast("double"))
-    total = F.transform(F.aggregate("matrix", F.array_repeat(F.lit(0.0), 16), add), lambda x: F.round(x, 4))
-    return encode(docs(spark, d), "doc_id", F.coalesce("text", F.lit("")), lambda: HashingEncoder(16, None), "[D] ", {"n_tokens": F.size("matrix"), "total": total})
+    whole = lambda m: (len(m), m.sum(0, dtype="float64").round(4).tolist())
+    return encode(docs(spark, d), "doc_id", F.coalesce("text", F.lit("")), lambda: HashingEncoder(16, None), "[D] ", whole, "n_tokens int, total array<double>")
 
 
 @register(f"""WITH {s_bm25_docs()}, {S_VEC}, c AS (SELECT query_id, doc_id % (SELECT count(DISTINCT key) FROM vec) AS key FROM ({s_top(s_search('asked', 'ix'))})), cand AS (SELECT DISTINCT query_id, key FROM c)
