@@ -16,6 +16,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -70,23 +71,22 @@ def kind(c: str) -> int:
 def describe(text: str, start: int, end: int, source: str, words: frozenset[str]) -> list[float]:
     """The features of the candidate text[start:end]."""
     run = text[start:end]
-    part = run[:512]  # rates of a very long run settle long before; its length is a feature of its own
-    kinds = [kind(c) for c in part]
-    n = len(part)
+    kinds = [kind(c) for c in run]
+    n = len(run)
     before, after = text[max(0, start - 48) : start], text[end : end + 24]
     near = re.findall(r"[a-z0-9]+", before.lower().replace("_", " "))[-4:]
     later = re.findall(r"[a-z0-9]+", after.lower())[:2]
-    counts = [part.count(c) / n for c in set(part)]
+    counts = [k / n for k in Counter(run).values()]
     return [
         float(len(run)),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         kinds.count(2) / n,
         kinds.count(1) / n,
         -sum(p * math.log2(p) for p in counts),
-        coverage(part, words),
-        float(part.count("/") >= 2 or "." in part[-5:] or before.endswith(("/", "\\"))),
-        float("://" in before[-30:] + part or "www." in part),
-        float(all(c in string.hexdigits + "-" for c in part)),
+        coverage(run, words),
+        float(run.count("/") >= 2 or "." in run[-5:] or before.endswith(("/", "\\"))),
+        float("://" in before[-30:] + run or "www." in run),
+        float(all(c in string.hexdigits + "-" for c in run)),
         float(sum(w in SECRET_WORDS for w in near)),
         float(sum(w in PLAIN_WORDS for w in near + later)),
         float(bool(re.search(r"[:=]\s*[\"'`]?$", before))),

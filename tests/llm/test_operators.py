@@ -313,6 +313,13 @@ def test_secrets(docs, spark):
     assert secrets.redact(docs, model).columns == docs.columns
 
 
+def test_features_are_of_the_whole_candidate():
+    words = secrets.dictionary(None)
+    run = "a" * 600 + "9F8E7D6C" * 30 + ".py"
+    got = dict(zip(secrets.NAMES, secrets.describe(run, 0, len(run), "", words), strict=True))
+    assert got["digits"] == pytest.approx(120 / len(run)) and got["capitals"] == pytest.approx(120 / len(run)) and got["path"] == 1 and got["hex"] == 0
+
+
 def test_decontamination_against_brute_force(docs, spark, monkeypatch):
     items = [(k, prose(25)) for k in range(60)] + [(60, "two words"), (61, ""), (62, None), (63, ROWS[5][1]), (63, ROWS[5][1])]
     rows = [(1000 + i, prose(80) + " " + items[i][1].upper() + ". " + prose(90)) for i in range(20)]
