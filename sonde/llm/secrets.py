@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key letters with a digit in it, or what an assignment to a secret-like name quotes. The
+A candidate is what an assignment gives to a secret-like name, quoted or not, from 8 letters on, or any other run of 16 or more
+key letters with a digit in it or a secret-like word before it. The
 forest (CART trees on bootstrap samples, a random subset of features at each split) sees the candidate's length, its
 changes between letter kinds, how much of it dictionary words cover, whether it lies in a path or an address, and the words
 around it. It is trained on labelled findings, by default those of ``labelled_findings``: keys, tokens and passwords in
@@ -27,7 +28,12 @@ from pyspark.sql import functions as F
 from sonde.llm.common import ship, table
 
 CANDIDATE = re.compile(r"""[A-Za-z0-9+/_=.\-]{16,}""")
-ASSIGNED = re.compile(r"""(?i)(?:password|passwd|secret|token|api[_-]?key|pwd)["']?\s*[:=]\s*["']([^"'\s]{8,64})["']""")
+#: A value ends at a quote, a blank, a tag or the next assignment of a list. Without an assignment it has 16 letters or more.
+VALUE = r"""(?:[^"'`\s<,;&]|<(?![/a-z])|[,;&](?![\w.-]+[:=]))"""
+ASSIGNED = re.compile(
+    r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|authorization|bearer|credentials?)"""
+    rf"""(?:["']?\s*(?:=>|:=|={{1,3}}|:)\s*(?:(?:bearer|basic)\s+)?["'`]?(?={VALUE}{{8}})|\s+(?:is\s+)?["'`]?(?={VALUE}{{16}}))({VALUE}+)"""
+)
 SECRET_WORDS = {"token", "key", "secret", "password", "passwd", "pwd", "auth", "authorization", "bearer", "api", "apikey", "credential", "credentials", "private", "access"}
 PLAIN_WORDS = {"commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "uuid", "guid", "id", "version", "revision", "href", "src", "url", "file", "path", "build", "etag", "example", "sample", "placeholder"}
 CUT = 0.5
@@ -68,13 +74,17 @@ def kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def near_words(before: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", before.lower().replace("_", " "))[-4:]
+
+
 def describe(text: str, start: int, end: int, source: str, words: frozenset[str]) -> list[float]:
     """The features of the candidate text[start:end]."""
     run = text[start:end]
     kinds = [kind(c) for c in run]
     n = len(run)
     before, after = text[max(0, start - 48) : start], text[end : end + 24]
-    near = re.findall(r"[a-z0-9]+", before.lower().replace("_", " "))[-4:]
+    near = near_words(before)
     later = re.findall(r"[a-z0-9]+", after.lower())[:2]
     counts = [k / n for k in Counter(run).values()]
     return [
@@ -167,8 +177,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: frozenset[str]
                     lambda: pick(string.ascii_letters + string.digits + "+/", rng.randint(30, 64)) + "=",
                     lambda: rng.choice(("sk_live_", "ghp_", "AKIA", "xoxb-")) + pick(string.ascii_letters + string.digits, rng.randint(16, 40)),
                     lambda: pick(string.ascii_letters + string.digits + "_-", rng.randint(16, 30)),
+                    lambda: pick(string.ascii_letters, rng.randint(16, 40)),
+                    lambda: pick(string.ascii_letters + string.digits + "!@#$%^*?", rng.randint(65, 120)),
                 )
             )()
+            if rng.random() < 0.2:
+                lead = rng.choice(("password = ", "password: ", "passwd=", "pwd: ", "secret = "))
+                marked = lambda: pick("!@#$%^*_-", rng.randint(0, 2))
+                key = rng.choice((lambda: pick(string.ascii_letters + string.digits + "!@#$%^*", rng.randint(9, 15)), lambda: word()[:8] + marked() + pick(string.digits, rng.randint(1, 4)) + marked() + pick(string.ascii_letters, rng.randint(2, 4))))()
         else:
             lead, key = rng.choice(
                 (
@@ -182,6 +198,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: frozenset[str]
                     lambda: ("", filler() + filler() + filler() + filler() + pick(string.digits, 2) + "@mail" + ".example.com"),
                     lambda: (rng.choice(("token = ", "api_key = ", "password: ")), rng.choice(("your_api_key_here_1", "XXXXXXXXXXXXXXXXXXX0", "example_token_000000", "changeme_changeme_1"))),
                     lambda: ("", pick("-=_.", rng.randint(16, 40)) + "1"),
+                    lambda: (rng.choice(("token: ", "key = ", "password: ", "secret: ", "auth = ")), rng.choice(("", "", word() + "_", word() + "-", word() + ".")) + word() + word()),
                 )
             )()
         quote = rng.choice(('"', "'", "")) if lead else ""
@@ -200,16 +217,25 @@ def train(findings: list[tuple[str, int, int, str, int]], words: frozenset[str])
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    found = {m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0])}
+    """Spans in order, none over another: assigned values first, runs in what lies between them."""
+    assigned: list[tuple[int, int]] = []
     low = text.lower()
-    if any(w in low for w in ("pass", "secret", "token", "key", "pwd")):
-        found |= {m.span(1) for m in ASSIGNED.finditer(text)}
+    if any(w in low for w in ("pass", "secret", "token", "key", "pwd", "auth", "credential", "bearer")):
+        for m in ASSIGNED.finditer(text):
+            a, b = m.span(1)
+            if text[b : b + 1] not in ('"', "'", "`"):  # what ends a clause is no part of an unquoted value
+                b = a + len(m[1].rstrip(".,;:)]}"))
+            if b - a >= 8:
+                assigned.append((a, b))
     out: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
+    at = 0
+    for a, b in [*assigned, (len(text), len(text))]:
+        for m in CANDIDATE.finditer(text, at, a):
+            if any(c.isdigit() for c in m[0]) or not SECRET_WORDS.isdisjoint(near_words(text[max(0, m.start() - 48) : m.start()])):
+                out.append(m.span())
+        if b > a:
             out.append((a, b))
+        at = b
     return out
 
 

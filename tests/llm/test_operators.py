@@ -320,6 +320,19 @@ def test_features_are_of_the_whole_candidate():
     assert got["digits"] == pytest.approx(120 / len(run)) and got["capitals"] == pytest.approx(120 / len(run)) and got["path"] == 1 and got["hex"] == 0
 
 
+def test_secrets_end_to_end():
+    model, words = secrets.scanner(), secrets.dictionary(None)
+    found = lambda t, s="": [t[a:b] for a, b, p in model.scan([t], [s])[0] if p >= 0.5]
+    for value in ("hunter2abc", "P@ssw0rd!2024", "QwErTyUiOpAsDfGhJkLz", "aB3!" * 20):
+        for lead, end in (("password = ", ""), ("see password: ", " there"), ('token = "', '" is'), ("a/b/token=", "")):
+            assert found(lead + value + end) == [value], lead + value
+    assert found("/".join(["alpha", "beta", "gamma"] * 60) + "/key=9f8Ae7Xq2LmZ0pR5tYwK") == ["9f8Ae7Xq2LmZ0pR5tYwK"]
+    assert not found("password: required") and not found("token: something") and not found("the key is internationalization")
+    held = secrets.labelled_findings(1000, 123, words)
+    hit = [any(x <= a and y >= b and p >= 0.5 for x, y, p in model.scan([t], [s])[0]) for t, a, b, s, label in held if label]
+    assert sum(hit) > 0.97 * len(hit)
+
+
 def test_decontamination_against_brute_force(docs, spark, monkeypatch):
     items = [(k, prose(25)) for k in range(60)] + [(60, "two words"), (61, ""), (62, None), (63, ROWS[5][1]), (63, ROWS[5][1])]
     rows = [(1000 + i, prose(80) + " " + items[i][1].upper() + ". " + prose(90)) for i in range(20)]
