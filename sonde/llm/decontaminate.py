@@ -62,14 +62,29 @@ class Item:
         return out if out[0] >= OVERLAP and out[1] >= PART and out[2] >= PART else None
 
 
+class Statistics:
+    """Number of items, their mean length and the document frequency of each word, over all blocks."""
+
+    def __init__(self, blocks: list[list[tuple[int, str]]]):
+        self.df: Counter[str] = Counter()
+        n = total = 0
+        for block in blocks:
+            for _, text in block:
+                if words := words_of(text):
+                    n += 1
+                    total += len(words)
+                    self.df.update(set(words))
+        self.n = max(1, n)
+        self.mean = total / self.n
+
+
 class BlockMaxIndex:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], over: Statistics | None = None):
         self.items = [x for x in (Item(i, t) for i, t in items) if x.words]
         tf = [Counter(x.words) for x in self.items]
-        df = Counter(t for c in tf for t in c)
-        n = max(1, len(self.items))
-        mean = sum(len(x.words) for x in self.items) / n
-        self.terms = {t: i for i, t in enumerate(sorted(df))}
+        over = over or Statistics([items])
+        n, mean, df = over.n, over.mean, over.df
+        self.terms = {t: i for i, t in enumerate(sorted({t for c in tf for t in c}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         self.longest = max((len(x.words) for x in self.items), default=1)
         for at, (x, c) in enumerate(zip(self.items, tf, strict=True)):
@@ -228,7 +243,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = texts(docs).select(F.col("doc_id").cast("long"), "text")
 
     def search(block):
-        index = BlockMaxIndex(block)
+        index = BlockMaxIndex(block, over)
 
         def run(batches):
             searcher = Searcher(index)
@@ -239,7 +254,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, schema)
 
-    parts = [search(b) for b in index_blocks(items)]
+    blocks = index_blocks(items)
+    over = Statistics(blocks)
+    parts = [search(b) for b in blocks]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -252,7 +269,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     names = docs.columns
 
     def keep(rows, block):
-        index = BlockMaxIndex(block)
+        index = BlockMaxIndex(block, over)
 
         def run(batches):
             searcher = Searcher(index)
@@ -261,7 +278,9 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, docs.schema)
 
-    for block in index_blocks(items):
+    blocks = index_blocks(items)
+    over = Statistics(blocks)
+    for block in blocks:
         docs = keep(docs, block)
     return docs
 

@@ -333,6 +333,18 @@ def test_secrets_end_to_end():
     assert sum(hit) > 0.97 * len(hit)
 
 
+def test_decontamination_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(k, prose(30 + k, rng)) for k in range(20)]
+    rows = [(i, t) if i % 2 else (i, " ".join("odd" if k == 3 else w for k, w in enumerate(t.split()))) for i, t in items]
+    df, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for block in (20_000, 7):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+        got.append({(r.doc_id, r.item_id): r.score for r in decontaminate.matches(df, table).collect()})
+    assert len(got[0]) == 20 and got[1] == {k: pytest.approx(v, abs=1e-9) for k, v in got[0].items()}
+
+
 def test_decontamination_against_brute_force(docs, spark, monkeypatch):
     items = [(k, prose(25)) for k in range(60)] + [(60, "two words"), (61, ""), (62, None), (63, ROWS[5][1]), (63, ROWS[5][1])]
     rows = [(1000 + i, prose(80) + " " + items[i][1].upper() + ". " + prose(90)) for i in range(20)]
