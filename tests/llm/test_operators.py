@@ -219,28 +219,54 @@ def test_components(spark):
 def test_token_files(docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tool = Tokenizer.from_file(path)
-    files = token_file.write_files(docs.dropDuplicates(["doc_id"]), path, f"file://{tmp_path}/ids", shard_docs=16)
-    got = token_file.read_files(files).orderBy("doc_id").collect()
+    extra = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("no id"))
+    files = token_file.write_files(docs.unionByName(extra), path, f"file://{tmp_path}/ids", shard_bytes=20_000, file_ids=2000)
+    got = sorted(token_file.read_files(files).collect(), key=lambda r: r.start)
+    want = sorted([(-1, "no id"), *((i, t or "") for i, t in ROWS)])
     start = 0
-    for r, (i, t) in zip(got, sorted(texts().items()), strict=True):
+    for r, (i, t) in zip(got, want, strict=True):
         ids = np.array(tool.encode(t, add_special_tokens=False).ids + [0], "<u4")
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (None if i < 0 else i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    assert files.count() > 2 and token_file.write_files(docs.limit(0), path, f"file://{tmp_path}/none").count() == 0
+    assert files.count() > 4
+    none = token_file.write_files(docs.limit(0), path, f"file://{tmp_path}/none")
+    assert none.count() == 0 and token_file.read_files(none).count() == 0
+
+
+def test_chunks_are_encoded_as_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool, rng = Tokenizer.from_file(path), random.Random(7)
+    parts = ["word", "Été", "don't", "it's,", "x.", "(y)", "3.14", "a\tb", "a\n\nb", "漢字", "é́", "ﬁ", "\x1c", "<|endoftext|>", "", "a_b", "ª.", "--", "\u00a0", "l'été;", "2nd", "Ⅳ"]
+    texts = [rng.choice(("", " ", "\n")) + " ".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) + rng.choice(("", " ", "\n")) for _ in range(600)]
+    enc = token_file.Encoder(path)
+    for t in texts:
+        assert enc.encode(t) == np.array(tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(5)
-    for n, top in ((1, 1), (1500, 9), (3000, 70_000)):
+    for n, top in ((0, 1), (1, 1), (1500, 9), (3000, 70_000), (200_000, 500)):
         ids = rng.integers(0, top, n).astype(np.uint32)
-        _, _, wm = token_file.from_bytes(token_file.to_bytes(np.array([1]), np.array([n]), ids))
-        assert (wm.all() == ids).all()
-        for i in rng.integers(0, n, 30):
-            assert wm.access(int(i)) == ids[i]
-        for token in [*ids[:5].tolist(), top - 1]:
+        data, taken = token_file.to_bytes(np.array([1]), np.array([n]), ids), []
+        assert (token_file.TokenFile.of(data).all() == ids).all()
+
+        def read(at, size, data=data, taken=taken):
+            taken.append(size)
+            return data[at : at + size]
+
+        file = token_file.TokenFile(read)
+        if n == 200_000:  # one token: a block a plane for the bit, and no more of the file
+            file.access(n // 2)
+            assert sum(taken) < len(data) / 2
+        for i in rng.integers(0, n, 30) if n else ():
+            assert file.access(int(i)) == ids[i]
+        for token in [*ids[:5].tolist(), top - 1, top + 70_000]:
             places = np.flatnonzero(ids == token)
-            assert wm.count(token) == len(places) and wm.count(token, n // 3, n // 2) == ((places >= n // 3) & (places < n // 2)).sum()
-            assert [wm.find(token, k) for k in range(min(3, len(places)))] == places[:3].tolist() and wm.find(token, len(places)) == -1
+            assert file.count(token) == len(places) and file.count(token, n // 3, n // 2) == ((places >= n // 3) & (places < n // 2)).sum()
+            some = [*range(min(3, len(places))), *range(max(0, len(places) - 2), len(places))]
+            assert [file.find(token, k) for k in some] == [int(places[k]) for k in some] and file.find(token, len(places)) == -1
+    doc_ids, lengths = token_file.TokenFile.of(token_file.to_bytes(np.array([0, 7]), np.array([2, 1]), np.array([5, 6, 5]), 1)).documents()
+    assert doc_ids.tolist() == [0, 7] and lengths.tolist() == [2, 1]
 
 
 def test_unigram_counts(docs):
