@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sonde.llm.common import documents, ship, texts
+from sonde.llm.common import documents, ship, texts, tidied
 
 INF = 1 << 60
 #: Up to this character the library and Python agree on letters, digits, case and composition.
 LATIN = "\u024f"
-#: Entries a worker's word cache may hold before it is emptied.
-CACHE = 400_000
+#: Entries a table of a worker may hold before it is emptied; all are emptied when a task ends.
+CACHE = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -104,7 +104,7 @@ class MergeAutomaton:
         key = x * self.width + t
         out = self.table.get(key)
         if out is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) > 4 * CACHE:
                 self.table.clear()
             out = self.table[key] = self.allows(x, t)
         return out
@@ -236,6 +236,12 @@ class WordBpe:
         return b"".join([a for a, _ in got]), " ".join([b for _, b in got])
 
 
+    def forget(self) -> None:
+        """Empty the tables of words met so far."""
+        for table in (self.cache, self.of_word, self.machine.prefixes, self.machine.table):
+            table.clear()
+
+
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
     """One per worker process: tasks reuse it."""
@@ -244,7 +250,7 @@ def word_bpe(path: str) -> WordBpe:
 
 def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per row of ``docs``; ``with_ids`` adds ids (array<int>) and decoded."""
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches):
@@ -265,8 +271,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) ->
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    del spark
-    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run, lambda: word_bpe(tokenizer).forget()), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

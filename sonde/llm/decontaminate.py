@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm.common import ship, table, texts
+from sonde.llm.common import ship, table, texts, tidied
 
 K1, B = 1.2, 0.75
 SIZE = 5
@@ -34,7 +34,8 @@ OVERLAP, PART = 0.8, 0.5
 BLOCK = 32
 #: The bound of what one pass broadcasts.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
-CACHE = 600_000
+#: Entries of a worker's table of chunks; it is emptied when full.
+CACHE = 200_000
 SLACK = 1e-9
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&~^+=/\\-_`"
 
@@ -252,7 +253,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidied(run), schema)
 
     blocks = index_blocks(items)
     over = Statistics(blocks)
@@ -276,7 +277,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not searcher.search(t or "") for t in b.column(names.index("text")).to_pylist()], pa.bool_()))
 
-        return rows.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(tidied(run), docs.schema)
 
     blocks = index_blocks(items)
     over = Statistics(blocks)

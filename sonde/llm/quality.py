@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm.common import ship, table, texts
+from sonde.llm.common import ship, table, texts, tidied
 
 BITS = 18
 #: Most labelled rows to fit on.
@@ -36,7 +36,8 @@ CLEAR = 5.0
 #: Keep a document whose chance of the top grade is at least this.
 TAIL = 0.5
 MARKS = "!?#$%&*|<>=~^+_/\\@"
-CACHE = 500_000
+#: Entries of a worker's table of chunks; it is emptied when full.
+CACHE = 200_000
 
 
 def bucket(feature: str) -> int:
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeL
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["grade", "features"])
 
-    got = texts(docs).join(F.broadcast(rated), "doc_id").select("grade", "text").mapInArrow(run, "grade int, features array<int>").toArrow()
+    got = texts(docs).join(F.broadcast(rated), "doc_id").select("grade", "text").mapInArrow(tidied(run), "grade int, features array<int>").toArrow()
     rows = got.column("features").to_pylist()
     order = sorted(range(len(rows)), key=lambda i: (got.column("grade")[i].as_py(), rows[i]))
     return CumulativeLink.fit([np.array(rows[i], np.int64) for i in order], np.array([got.column("grade")[i].as_py() for i in order], np.int64), 3)
@@ -165,7 +166,7 @@ def score(docs: DataFrame, model: CumulativeLink, tail: float = TAIL) -> DataFra
             top = above[:, -1]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(1)), pa.array(top), pa.array(top >= tail)], ["doc_id", "expected_grade", "p_top", "keep"])
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(tidied(run), schema)
 
 
 def select(docs: DataFrame, model: CumulativeLink, tail: float = TAIL) -> DataFrame:
@@ -179,7 +180,7 @@ def select(docs: DataFrame, model: CumulativeLink, tail: float = TAIL) -> DataFr
             z = np.array([model.weights[features.of(t or "")].sum(dtype=np.float64) for t in b.column(names.index("text")).to_pylist()])
             yield b.filter(pa.array(model.above(z)[:, -1] >= tail))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm.common import ship, table
+from sonde.llm.common import ship, table, tidied
 
 CANDIDATE = re.compile(r"""[A-Za-z0-9+/_=.\-]{16,}""")
 #: A value ends at a quote, a blank, a tag or the next assignment of a list. Without an assignment it has 16 letters or more.
@@ -272,7 +272,7 @@ def scan(docs: DataFrame, model: Scanner) -> DataFrame:
 
     source = F.coalesce("source", F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), source.alias("source"))
-    return rows.mapInArrow(run, "doc_id long, n_candidates long, n_secrets long, spans array<struct<start: long, end: long, chance: double>>")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_candidates long, n_secrets long, spans array<struct<start: long, end: long, chance: double>>")
 
 
 def redact(docs: DataFrame, model: Scanner) -> DataFrame:
@@ -292,7 +292,7 @@ def redact(docs: DataFrame, model: Scanner) -> DataFrame:
             columns[names.index("text")] = pa.array(got, b.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

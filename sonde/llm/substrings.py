@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, ShortType, StructField, StructType
 
-from sonde.llm.common import documents, ship, staged
+from sonde.llm.common import documents, ship, staged, tidied
 
 LENGTH, ANCHOR = 100, 32
 #: Stretches sorted together at most; a larger anchor group is dealt out in parts.
@@ -211,7 +211,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     long_texts = docs.where(F.octet_length("text") >= LENGTH)
     schema = StructType([StructField("doc", key), StructField("h", LongType()), StructField("first", IntegerType()), StructField("n", ShortType()), StructField("at", ShortType())])
-    found = staged(long_texts.select("doc", "text").mapInArrow(find, schema), "anchors")
+    found = staged(long_texts.select("doc", "text").mapInArrow(tidied(find), schema), "anchors")
     often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     parts = F.ceil(F.col("c") / GROUP).cast("int")
     flagged = found.join(often, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "first", "n", "at", parts.alias("parts"))).alias("at"))
@@ -237,7 +237,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     texts = filtered(long_texts.select("doc", "text"), flagged.select("doc")).join(flagged, "doc")
     whole = IntegerType()
     schema = StructType([StructField("doc", key), StructField("h", LongType()), *[StructField(k, whole) for k in ("part", "parts", "first", "n", "at")], StructField("bytes", BinaryType())])
-    stretches = texts.select("doc", "text", "at").mapInArrow(cut, schema)
+    stretches = texts.select("doc", "text", "at").mapInArrow(tidied(cut), schema)
 
     def match(batches):
         held, at = [], None
@@ -295,7 +295,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     schema = StructType([StructField("doc", key), StructField("start", whole), StructField("end", whole), StructField("hi", LongType()), StructField("lo", LongType())])
     dealt = stretches.repartition("h", "part").sortWithinPartitions("h", "part", "doc", "first")
-    spans = staged(dealt.mapInArrow(match, schema), "spans")
+    spans = staged(dealt.mapInArrow(tidied(match), schema), "spans")
 
     # across the parts of large groups: the first of each string stays
     open_rows = spans.where("hi is not null")
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string())], ["doc", "n_removed", "n_spans", "kept_sha256"])
 
     schema = spans.select("doc").withColumns({"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.lit("")}).schema
-    cut = filtered(kept, ids).join(spans, "doc").select("doc", "text", "spans").mapInArrow(remove, schema).dropDuplicates(["doc"])
+    cut = filtered(kept, ids).join(spans, "doc").select("doc", "text", "spans").mapInArrow(tidied(remove), schema).dropDuplicates(["doc"])
     out = keys.join(cut.withColumnRenamed("doc", "me"), "me", "left")
     copy = ~F.col("me").eqNullSafe(F.col("doc")) & (F.col("n_bytes") >= LENGTH)
     nothing = hashlib.sha256(b"").hexdigest()

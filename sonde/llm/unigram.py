@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm.common import documents, ship, texts
+from sonde.llm.common import documents, ship, texts, tidied
 
 MARK = "▁"
 BYTE_SCORE = -20.0
 #: Entries of a worker's table of counted words; it is emptied when full.
-CACHE = 600_000
+CACHE = 300_000
 
 
 class PieceTrie:
@@ -107,7 +107,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                 [batch.column(0), pa.array([len(t.split()) for t in got], pa.int64()), pa.array([trie.count(t) for t in got], pa.int64())], ["doc_id", "n_words", "n_tokens"]
             )
 
-    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run, lambda: piece_trie(vocabulary).counts.clear()), "doc_id long, n_words long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
