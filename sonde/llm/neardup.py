@@ -8,13 +8,16 @@ with chance at most 2*(1 - s**WIDTH)**COLLECTION: 4e-7 at 0.85, 1e-5 at 0.8.
 Plan: equal sets are one class, of which the least doc_id goes on. Keys that no second class has are dropped
 first, since no table can then join on them; the tables hold only what is left. In each table's bucket every class is
 paired with the bucket's least one and verified on full sets; the verified links' components are found. Then links between
-different components of classes that buckets connect, which are all that could still matter, are looked for among all pairs
-of such a cluster, in blocks of two chunks of sets that never list a pair, and the components found again. Pairs within a component are not listed: they
-change nothing. Full sets are made again for classes in pairs only. Nothing is collected to the driver; aggregates have map-side parts, joins can be split by adaptive execution.
+different components of classes that buckets connect, which are all that could still matter, are looked for among the pairs
+of such a cluster that are in different components, in blocks of two chunks of sets that never list a pair, and the components
+found again. Pairs within a component are not listed: they change nothing. Full sets are made again for classes in pairs only.
+Nothing is collected to the driver; aggregates have map-side parts, rows of hot keys are dealt out.
 
 Edge cases: a text with fewer words than five is one shingle, of all its words; null texts and texts without words have the
-empty set and no links; equal texts are linked; repeated doc_ids share a set row each and one component; empty tables give no rows;
-further columns are ignored (``keep_first`` keeps them).
+empty set and no links; equal texts are linked; repeated doc_ids share a set row each and one component; a row without doc_id gets
+the component of the texts equal to its own, if there are any, links nothing and is not ``kept`` (``keep_first`` keeps it: it is
+no other row's copy by id); very long texts are taken whole; empty tables give no rows; further columns are ignored
+(``keep_first`` keeps them).
 """
 
 from __future__ import annotations
@@ -22,19 +25,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonde.llm.common import documents, ship, spread_join, staged, texts
+from sonde.llm.common import documents, ship, spread_join, staged, texts, tidied
 from sonde.llm.components import components
 
 SIZE = 5
 COLLECTION, WIDTH = 12, 2
 #: Most classes whose ids are broadcast as a filter of the second pass; beyond, it is a shuffle join.
 BROADCAST_IDS = 1_000_000
-#: Sets of one cluster that a task compares with as many others.
-CHUNK = 1024
-CACHE = 600_000
+#: Sets, and shingles, of one cluster that are compared with as many others at a time (one set may have more shingles).
+CHUNK, CHUNK_SHINGLES = 256, 500_000
+#: Entries of a worker's table of words; it is emptied when full.
+CACHE = 200_000
 _rng = np.random.default_rng(20240607)
 ODD = _rng.integers(0, 1 << 63, 2 * COLLECTION * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,7 +113,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "hi", "lo", "keys"])
 
     rows = texts(docs).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, keys array<long>")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_shingles long, hi long, lo long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingler.set(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["rep", "shingles"])
 
-    return rows.mapInArrow(run, "rep long, shingles array<long>")
+    return rows.mapInArrow(tidied(run), "rep long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,12 +174,31 @@ def block_links(reps: list[int], components: list[int], sides: list[bool], sets:
     return out
 
 
-def cluster_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of one cluster: every pair is compared, in blocks of two chunks of CHUNK sets."""
-    chunks = placed.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+def chunked(placed: DataFrame) -> DataFrame:
+    """cluster, i, j, rep, component, side: the sets (cluster, component, rep, n) in blocks of two chunks i <= j; side: it is in j.
+
+    A component with a chunk or more to itself has chunks of its own, the others of its cluster share theirs. A block of two
+    chunks of one component is left out: its links join nothing. So a large component meets only what is not in it.
+    """
+    size = placed.groupBy("cluster", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    large = (F.col("sets") >= CHUNK) | (F.col("shingles") >= CHUNK_SHINGLES)
+    owned = size.withColumn("owner", F.when(large, F.struct("component")))
+    count = F.ceil(F.greatest(F.sum("sets") / CHUNK, F.sum("shingles") / CHUNK_SHINGLES)).cast("int")
+    chunks = owned.groupBy("cluster", "owner").agg(count.alias("chunks")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunks = chunks.withColumn("at", F.row_number().over(Window.partitionBy("cluster").orderBy("owner", "c")))
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    rows = placed.join(chunks, "cluster").withColumn("c", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("cluster", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "component", (F.col("c") > F.col("o")).alias("side"))
+    sets = placed.join(owned.select("cluster", "component", "owner"), ["cluster", "component"])
+    first = chunks.where("c = 0").select("cluster", "owner", "chunks", F.col("at").alias("base"))
+    sets = sets.alias("s").join(first.alias("f"), (F.col("s.cluster") == F.col("f.cluster")) & F.col("s.owner").eqNullSafe(F.col("f.owner")))
+    sets = sets.select("s.cluster", "s.owner", "rep", "component", (F.col("base") + mine).alias("at"))
+    other = chunks.select("cluster", F.col("owner").alias("other_owner"), F.col("at").alias("other"))
+    pairs = sets.join(other, "cluster").where(F.col("owner").isNull() | ~F.col("owner").eqNullSafe(F.col("other_owner")))
+    return pairs.select("cluster", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "rep", "component", (F.col("at") > F.col("other")).alias("side"))
+
+
+def cluster_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster: all pairs that could join some are compared, in blocks of two chunks."""
+    rows = chunked(placed)
 
     def run(batches):
         at, held = None, ([], [], [], [])
@@ -199,7 +222,7 @@ def cluster_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             yield close()
 
     dealt = rows.join(sets, "rep").select("cluster", "i", "j", "rep", "component", "side", "shingles").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def cluster(docs: DataFrame, percent: int) -> DataFrame:
@@ -210,13 +233,14 @@ def cluster(docs: DataFrame, percent: int) -> DataFrame:
 
     # keys that two classes share, per collection; then the tables among those
     single = classes.select("rep", "n", F.posexplode("keys").alias("place", "key"))
-    shared = single.groupBy("place", "key").agg(F.count("*").alias("c")).where("c > 1").select("place", "key")
-    alive = single.join(shared, ["place", "key"]).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("keys"))
+    shared = single.groupBy("place", "key").agg(F.count("*").alias("c")).where("c > 1")
+    alive = spread_join(single, shared, ["place", "key"], 2 * COLLECTION * classes.count(), ["rep"]).where("c is not null").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("keys"))
     first, second = F.filter("keys", lambda k: k["place"] < COLLECTION), F.filter("keys", lambda k: k["place"] >= COLLECTION)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["key"], y["place"], y["key"]))))
     rows = staged(alive.select("rep", "n", F.explode(tables).alias("key")), "tables")
     low = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("c")).where("c > 1")
-    members = staged(rows.join(low, "key").select("key", "rep", "n", F.col("low.rep").alias("first"), F.col("low.n").alias("first_n")), "members")
+    met = spread_join(rows, low, ["key"], rows.count(), ["rep"]).where("c is not null")
+    members = staged(met.select("key", "rep", "n", F.col("low.rep").alias("first"), F.col("low.n").alias("first_n")), "members")
 
     near = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)  # noqa: E731  else sizes alone rule a pair out
     stars = staged(members.where(F.col("rep") > F.col("first")).where(near(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
@@ -228,7 +252,7 @@ def cluster(docs: DataFrame, percent: int) -> DataFrame:
     clusters = components(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     placed = clusters.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parted = placed.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cluster")
-    open_rows = staged(placed.join(parted, "cluster").select("rep", "cluster", "component"), "open")
+    open_rows = staged(placed.join(parted, "cluster").join(sets.select("rep", F.size("shingles").alias("n")), "rep").select("rep", "cluster", "component", "n"), "open")
     more = staged(cluster_links(open_rows, sets, percent), "links")
     if more.head(1):
         found = components(links.unionByName(more))
@@ -238,11 +262,11 @@ def cluster(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    return cluster(docs, percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return cluster(docs, percent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The row with the least doc_id of each component of ``docs``, with its own columns; of rows that share it, all."""
+    """The row with the least doc_id of each component of ``docs``, with its own columns; of rows that share it, all; and rows without doc_id."""
     gone = cluster(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
     gone = staged(gone, "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)

@@ -177,10 +177,11 @@ def test_near_duplicates_against_brute_force(docs, percent):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in of if of[i] == i}
 
 
-@pytest.mark.parametrize("chunk", [1024, 7])
-def test_near_duplicates_between_parted_components(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "shingles"), [(1024, 10**9), (7, 10**9), (1024, 900)])
+def test_near_duplicates_between_parted_components(spark, monkeypatch, chunk, shingles):
     """A chain of near copies whose ends are unlike, and unlinked neighbours in one cluster."""
     monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "CHUNK_SHINGLES", shingles)
     rng = random.Random(2)
     w = [rng.choice(WORDS) + str(i) for i in range(200)]
     rows = []
@@ -205,6 +206,27 @@ def test_near_duplicates_between_parted_components(spark, monkeypatch, chunk):
     assert {i: got[i].component_id for i in of} == of
 
 
+def test_blocks_hold_each_pair_of_components_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    rng = random.Random(1)
+    rows = [(c, (i if i % 3 else 3) + 100 * c if i < 18 else 100 * c, 1000 * c + i, rng.randint(1, 9)) for c in range(3) for i in range(30 * c + 2)]
+    blocks = {}
+    for r in neardup.chunked(spark.createDataFrame(rows, "cluster long, component long, rep long, n int")).collect():
+        blocks.setdefault((r.cluster, r.i, r.j), []).append((r.rep, r.component, r.side))
+    met = Counter()
+    for (_, i, j), sets in blocks.items():
+        met.update((a, b) for a, x, s in sets for b, y, t in sets if a < b and x != y and (i == j or s != t))
+    assert met == {(a, b): 1 for c, x, a, _ in rows for d, y, b, _ in rows if c == d and a < b and x != y}
+
+
+def test_near_duplicates_without_doc_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(3, text), (None, text), (None, "alone here"), (4, text + " more")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, 80).collect()), key=str)
+    assert got == [(3, 3, True), (4, 3, False), (None, 3, False), (None, None, False)]
+    assert sorted((r.doc_id or 0) for r in neardup.keep_first(df, 80).collect()) == [0, 0, 3]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]
