@@ -44,9 +44,9 @@ MAGIC = b"SNDWM002"
 #: Bits of a plane block, and between two counts of ones inside it (which fit 16 bits).
 BLOCK, STEP = 1 << 16, 512
 #: Text that one shard, i.e. one task, has about; and ids after which a shard begins another file.
-SHARD_BYTES, FILE_IDS = 8 << 20, 4 << 20
+SHARD_BYTES, FILE_IDS = 16 << 20, 4 << 20
 END_ID = 0
-#: Entries of a worker's tables of chunks and of pieces; one is emptied when it is full, both when a task ends.
+#: Entries of a worker's tables of chunks and of pieces; one is emptied when it is full; tasks of one worker share them.
 CACHE = 300_000
 #: The letter that stands for a blank in byte-level vocabularies.
 BLANK = byte_alphabet()[32]
@@ -130,10 +130,6 @@ class Encoder:
             out += got
         return b"".join(out)
 
-    def forget(self) -> None:
-        self.chunks.clear()
-        self.pieces.clear()
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -363,7 +359,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int =
 
     # ranges by a sample of doc_id: as many as the text has SHARD_BYTES, each in the order of doc_id
     dealt = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(dealt.mapInArrow(tidied(run, lambda: encoder(tokenizer).forget()), "shard long, path string, n_docs long, n_ids long"), "token-files")
+    return staged(dealt.mapInArrow(tidied(run), "shard long, path string, n_docs long, n_ids long"), "token-files")
 
 
 def starts(files: DataFrame) -> DataFrame:
