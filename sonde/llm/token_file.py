@@ -47,7 +47,7 @@ BLOCK, STEP = 1 << 16, 512
 SHARD_BYTES, FILE_IDS = 16 << 20, 4 << 20
 END_ID = 0
 #: Entries of a worker's tables of chunks and of pieces; one is emptied when it is full; tasks of one worker share them.
-CACHE = 300_000
+CACHE = 500_000
 #: The letter that stands for a blank in byte-level vocabularies.
 BLANK = byte_alphabet()[32]
 #: Plane blocks that an open file keeps.
@@ -108,27 +108,25 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        cache, out = self.chunks, []
-        for line in text.split("\n"):
-            if out:
-                out.append(self.line_end)
-            chunks = line.split(" ")
-            got = list(map(cache.get, chunks))
-            if None in got:
-                if len(cache) > CACHE:
-                    cache.clear()
-                for i, ids in enumerate(got):
-                    if ids is None and i:
-                        c = chunks[i]
-                        if not c or c[0].isspace():  # blanks in a row
+        cache = self.chunks
+        chunks = text.replace("\n", " \n").split(" ")
+        got = list(map(cache.get, chunks))
+        if None in got:
+            if len(cache) > CACHE:
+                cache.clear()
+            for i, ids in enumerate(got):
+                if ids is None and i:
+                    c = chunks[i]
+                    if c[:1] == "\n":  # the end of a line, without a blank before it
+                        if len(c) == 1 or c[1].isspace():
                             return self.whole(text)
+                        got[i] = cache[c] = self.line_end + self.chunk(c[1:], False)
+                    elif not c or c[0].isspace():  # blanks in a row
+                        return self.whole(text)
+                    else:
                         got[i] = cache[c] = self.chunk(c, True)
-            first = chunks[0]
-            if not first or first[0].isspace() or line[-1].isspace():
-                return self.whole(text) if text else b""
-            got[0] = self.chunk(first, False)
-            out += got
-        return b"".join(out)
+        got[0] = self.chunk(chunks[0], False) if chunks[0] else b""
+        return b"".join(got)
 
 
 @lru_cache(maxsize=2)
