@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -17,7 +18,7 @@ KNOWN_WORDS, GROUP_CHARS = 100_000, 400_000
 
 
 class Encoder(Protocol):
-    def encode(self, texts: list[str]) -> list[np.ndarray]: ...
+    def encode(self, texts: list[str]) -> list: ...
 
 
 class HashingEncoder:
@@ -67,9 +68,10 @@ def encode(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder],
     """key, matrix (array<array<float>>). Each distinct text is encoded once and handed to all its keys.
 
     With ``of``, key and the columns of ``schema`` that it makes of each whole matrix, which then stays in its worker.
+    Texts are matched by a digest, so no shuffle sorts whole texts twice.
     """
-    rows = docs.select(F.col(key), F.concat(F.lit(prefix), text).alias("content"))
-
+    content = F.concat(F.lit(prefix), text)
+    rows = docs.select(F.col(key), F.sha2(content, 256).alias("digest"), content.alias("content"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +79,28 @@ def encode(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder],
         for b in batches:
             for group in groups(b["content"].tolist()):
                 made = [of(m) if of else (list(m),) for m in model.encode(group)]
-                yield pd.DataFrame({"content": group} | {n: [r[i] for r in made] for i, n in enumerate(names)})
+                yield pd.DataFrame({"digest": [hashlib.sha256(t.encode()).hexdigest() for t in group]} | {n: [r[i] for r in made] for i, n in enumerate(names)})
+
+    distinct = rows.groupBy("digest").agg(F.first("content").alias("content")).select("content").mapInPandas(run, f"digest string, {schema}")
+    return rows.select(key, "digest").join(distinct, "digest").select(key, *names)
+
+
+def rows_of(encoded: DataFrame, name: str = "rows") -> DataFrame:
+    """One row for each struct of an encoded text's list."""
+    return encoded.select(*[c for c in encoded.columns if c != name], F.inline(name))
+
+
+def encode_vectors(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder]) -> DataFrame:
+    """key, pos, embedding: the vectors of a text's places, padding (zero vectors) too."""
+    return rows_of(encode(docs, key, text, make, "", lambda m: ([{"pos": i, "embedding": v.tolist()} for i, v in enumerate(m)],), "rows array<struct<pos:int,embedding:array<double>>>"))
+
+
+def encode_activations(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder]) -> DataFrame:
+    """key, term, value of each activated term, also where its value is 0."""
+    return rows_of(encode(docs, key, text, make, "", lambda a: ([{"term": int(t), "value": float(v)} for t, v in zip(a[0], a[1], strict=True)],), "rows array<struct<term:int,value:double>>"))
+
 
-    distinct = rows.select("content").distinct().mapInPandas(run, f"content string, {schema}")
-    return rows.join(distinct, "content").select(key, *names)
+def encode_embedded(docs: DataFrame, key: str, text: Column, make: Callable[[], Encoder]) -> DataFrame:
+    """key, token, value, embedding of each activated term."""
+    of = lambda a: ([{"token": int(t), "value": float(v), "embedding": e.tolist()} for t, v, e in zip(*a, strict=True)],)
+    return rows_of(encode(docs, key, text, make, "", of, "rows array<struct<token:int,value:double,embedding:array<double>>>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +19,27 @@ def content(on: str | list[str]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in as_list(on)])
 
 
+def unaccented() -> tuple[str, str]:
+    """Letters that are a plain letter with marks, and those plain letters, by Unicode's own decompositions."""
+    pairs = [(c, base) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if len(base := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1 and base != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
 def normalize(text: Column, strip_punctuation: bool = False, strip_accents: bool = False) -> Column:
+    """Lower case, blanks squeezed to one; ``strip_accents`` takes marks off Latin letters, composed or not."""
     out = F.lower(text)
     if strip_accents:
-        out = F.regexp_replace(F.normalize(out, "NFD") if hasattr(F, "normalize") else out, r"\p{M}", "")
+        out = F.regexp_replace(F.translate(out, *unaccented()), r"\p{M}", "")
     if strip_punctuation:
         out = F.translate(out, PUNCTUATION, " " * len(PUNCTUATION))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def without_words(text: Column, stop_words: tuple[str, ...]) -> Column:
+    """A normalised text without these words."""
+    return F.array_join(F.filter(F.split(text, " "), lambda w: ~w.isin(*stop_words)), " ") if stop_words else text
+
+
 def grams(text: Column, low: int, high: int) -> Column:
     """All substrings of low..high letters, each as often as it occurs. Look-ahead: substr would walk each text from its start."""
     return F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)])
@@ -40,15 +54,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def gram_counts(docs: DataFrame, key: str, text: Column, analyzer: str = "char_wb", ngram_range: tuple[int, int] = (3, 5)) -> DataFrame:
-    """key, term, tf. ``char``: n-grams of the whole text; ``char_wb``: inside each word, each distinct word of a text taken once."""
+def gram_counts(docs: DataFrame, key: str | list[str], text: Column, analyzer: str = "char_wb", ngram_range: tuple[int, int] = (3, 5)) -> DataFrame:
+    """key, term, tf. ``char``: n-grams of the whole text; ``char_wb``: inside each word, each distinct word of a text taken once; ``word``: words."""
     low, high = ngram_range
+    keys = as_list(key)
     if analyzer == "char":
-        return docs.select(F.col(key), F.explode(grams(text, low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    if analyzer != "char_wb":
+        return docs.select(*keys, F.explode(grams(text, low, high)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    if analyzer not in ("char_wb", "word"):
         raise ValueError(f"unknown analyzer {analyzer!r}")
-    each = docs.select(F.col(key), F.explode(words(text)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    return each.select(key, "n", F.explode(grams(F.col("word"), low, high)).alias("term")).groupBy(key, "term").agg(F.sum("n").alias("tf"))
+    each = docs.select(*keys, F.explode(words(text)).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    if analyzer == "word":
+        return each.select(*keys, F.col("word").alias("term"), F.col("n").alias("tf"))
+    return each.select(*keys, "n", F.explode(grams(F.col("word"), low, high)).alias("term")).groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
 
 
 def with_prefix(text: Column, prefix: str) -> Column:

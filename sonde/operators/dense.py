@@ -2,61 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonde.functions.vectors import dot, matrices, max_sim
-from sonde.operators.sparse import products, top_k
+from sonde.operators.sparse import products, scored_sides, top_k
+from sonde.sources.staging import new_path
 
-#: Queries scored in one pass over the documents: the bound of what a pass holds in memory and ships to the executors.
+#: Queries in a block: the bound of what a task holds of them at a time.
 QUERY_BLOCK = 256
 
 
-def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
-    held: list[tuple] = []
-    for q, m in matrices(queries.withColumnRenamed("key", "query_id"), "query_id").select("query_id", "matrix").toLocalIterator():
-        held.append((q, np.array(m, np.float64)))
-        if len(held) == QUERY_BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
+def query_blocks(queries: DataFrame) -> list[str]:
+    """Write the queries' matrices to the shared folder, in files of at most QUERY_BLOCK queries; returns the files.
+
+    Only the names come to the driver, one for QUERY_BLOCK queries.
+    """
+    rows = matrices(queries.withColumnRenamed("key", "query_id"), "query_id").select("query_id", "matrix")
+    folder = new_path(rows.sparkSession, "queries")
+    rows.write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(folder)
+    files = sorted(rows.sparkSession.read.parquet(folder).inputFiles())
+    return [f.replace("file:///", "/") if f.startswith("file:///") else f for f in files]
+
+
+def read_block(path: str) -> list[tuple[int, np.ndarray]]:
+    store, at = (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
+    table = pq.read_table(at, filesystem=store)
+    return [(q, np.array(m, np.float64)) for q, m in zip(table.column("query_id").to_pylist(), table.column("matrix").to_pylist(), strict=True)]
 
 
 def max_sim_all(documents: DataFrame, queries: DataFrame, k: int | None = None, floor_zero: bool = False) -> DataFrame:
-    """query_id, rank, key, similarity of (key, pos, embedding) documents: every query against every document, in blocks of queries.
+    """query_id, rank, key, similarity of (key, pos, embedding) documents: every query against every document, in one pass over these.
 
-    A document's best k per query leave its batch only, so what is shuffled is k rows per batch and query.
+    Each task reads the blocks of queries one by one for each of its batches. A query's best k of a batch leave it only, so
+    what is shuffled is k rows a batch and query.
     """
-    docs = matrices(documents, "key")
-    spark = documents.sparkSession
-    out = None
-    for block in _blocks(queries):
-
-        def run(batches, block=block):
-            for b in batches:
+    blocks = query_blocks(queries)
+
+    def run(batches):
+        for b in batches:
+            ms = [np.array([list(r) for r in m], np.float64) for m in b["matrix"]]
+            if not ms:
+                continue
+            joined, starts = np.concatenate(ms), np.cumsum([0, *map(len, ms)])[:-1]
+            keys = b["key"].to_numpy()
+            for path in blocks:
                 found = []
-                ms = [np.array([list(r) for r in m], np.float64) for m in b["matrix"]]
-                if not ms:
-                    continue
-                joined, starts = np.concatenate(ms), np.cumsum([0, *map(len, ms)])[:-1]
-                keys = b["key"].to_numpy()
-                for q, m in block:
+                for q, m in read_block(path):
                     best = np.maximum.reduceat(m @ joined.T, starts, axis=1)
                     score = (np.maximum(best, 0) if floor_zero else best).sum(0)
                     take = np.lexsort((keys, -np.round(score, 9)))[: k if k is not None else len(keys)]
                     found.append(pd.DataFrame({"query_id": q, "key": keys[take], "similarity": score[take]}))
-                yield pd.concat(found)
+                if found:
+                    yield pd.concat(found)
 
-        part = docs.mapInPandas(run, "query_id long, key long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, key long, similarity double")
-    return top_k(out, "key", k, positive=False)
+    return top_k(matrices(documents, "key").mapInPandas(run, "query_id long, key long, similarity double"), "key", k, positive=False)
 
 
 def max_sim_pairs(documents: DataFrame, queries: DataFrame, pairs: DataFrame, floor_zero: bool = False) -> DataFrame:
@@ -67,7 +71,33 @@ def max_sim_pairs(documents: DataFrame, queries: DataFrame, pairs: DataFrame, fl
 
 
 def max_sim_rank(documents: DataFrame, queries: DataFrame, candidates: DataFrame, k: int | None = None) -> DataFrame:
-    return top_k(max_sim_pairs(documents, queries, candidates.select("query_id", "key").distinct()), "key", k, positive=False)
+    """query_id, rank, key, similarity and the candidates' own fields; of a query's candidates with one key, one."""
+    return top_k(max_sim_pairs(documents, queries, candidates.drop("rank").dropDuplicates(["query_id", "key"])), "key", k, positive=False)
+
+
+def max_sim_triplet_scores(tokens: DataFrame, triplets: DataFrame, in_batch_negatives: bool = False) -> DataFrame:
+    """row, positive, negative: late interaction of anchors with either side; with in_batch the positive of the row before, too."""
+
+    def score(pairs):
+        named = pairs.select("pair", F.col("left").alias("query_id"), F.col("right").alias("key"))
+        return max_sim_pairs(tokens, tokens, named).select("pair", F.col("similarity").alias("score"))
+
+    return scored_sides(score, triplets, in_batch_negatives)
+
+
+def token_triplet_scores(tokens: DataFrame, triplets: DataFrame, how: str = "sum") -> DataFrame:
+    """row, positive, negative: shared tokens' products, as a sum, or as a mean over tokens and vector places.
+
+    Triplets without a shared token on both sides are left out.
+    """
+
+    def score(pairs):
+        q = tokens.select(F.col("key").alias("left"), "token", F.col("embedding").alias("q"))
+        d = tokens.select(F.col("key").alias("right"), "token", F.col("embedding").alias("d"))
+        hit = pairs.join(q, "left").join(d, ["right", "token"]).select("pair", dot(F.col("q"), F.col("d")).alias("product"), F.size("q").alias("dim"))
+        return hit.groupBy("pair").agg((F.avg(F.col("product") / F.col("dim")) if how == "mean" else F.sum("product")).alias("score"))
+
+    return scored_sides(score, triplets)
 
 
 def shared_tokens(queries: DataFrame, documents: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -92,6 +122,7 @@ def activated_search(sparse_queries: DataFrame, sparse_documents: DataFrame, que
 
 
 def activated_rank(queries: DataFrame, documents: DataFrame, candidates: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, rank, key, similarity of the candidates by their shared tokens' score."""
     return top_k(shared_token_scores(queries, documents, candidates), "key", k, positive=False)
 
 
@@ -106,6 +137,3 @@ def attention_pool(logits: DataFrame, hidden: DataFrame, activated: DataFrame) -
     mixed = weight.join(hidden, ["key", "pos"]).groupBy("key", "term", "dim").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
     return mixed.withColumn("value", F.greatest("value", F.lit(0.0)))
 
-
-def reduced(values: Column, how: str) -> Column:
-    return {"sum": F.sum, "mean": F.avg}[how](values)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,43 +14,43 @@ def run_scores(run: DataFrame) -> DataFrame:
     return run.withColumn("score", 1 - (F.col("rank") - 1) / n)
 
 
-def _gain(relevance: Column, rank: Column) -> Column:
-    return relevance / F.log2(rank + 1.0)
-
-
-def _one(metric: str, judged: DataFrame, ideal: DataFrame, queries: DataFrame) -> DataFrame:
+def _value(metric: str) -> Column:
+    """A query's value of a metric, as an aggregate of its judged results (rank, relevance, seen, best: the ideal's relevance at that rank)."""
     name, _, k = metric.partition("@")
-    cut = F.col("rank") <= int(k) if k else F.lit(True)
-    at = float(k) if k else F.col("n_results")
-    found = judged.where(cut)
-    hit = F.col("relevance") > 0
-    if name == "ndcg":
-        best = ideal.where(cut).groupBy("query_id").agg(F.sum(_gain(F.col("relevance"), F.col("rank"))).alias("best"))
-        value = found.groupBy("query_id").agg(F.sum(_gain(F.col("relevance"), F.col("rank"))).alias("dcg")).join(best, "query_id").select("query_id", (F.col("dcg") / F.col("best")).alias("value"))
-    elif name == "map":
-        seen = F.sum(hit.cast("int")).over(Window.partitionBy("query_id").orderBy("rank"))
-        value = judged.withColumn("p", F.when(hit, seen / F.col("rank")).otherwise(0.0)).where(cut).groupBy("query_id").agg(F.sum("p").alias("s"), F.first("n_relevant").alias("n"))
-        value = value.select("query_id", (F.col("s") / F.col("n")).alias("value"))
-    elif name == "mrr":
-        value = found.where(hit).groupBy("query_id").agg((1.0 / F.min("rank")).alias("value"))
-    elif name == "r-precision":
-        value = judged.where(F.col("rank") <= F.col("n_relevant")).groupBy("query_id").agg((F.sum(hit.cast("int")) / F.first("n_relevant")).alias("value"))
-    else:
-        got = F.sum(hit.cast("int"))
-        n = F.first("n_relevant")
-        size = F.lit(at) if k else F.first(at)
-        how = {"hits": got.cast("double"), "hit_rate": F.max(hit.cast("double")), "recall": got / n, "precision": got / size, "f1": 2 * got / (size + n)}
-        if name not in how:
-            raise ValueError(f"unknown metric {metric!r}")
-        value = found.groupBy("query_id").agg(how[name].alias("value"))
-    return queries.join(value, "query_id", "left").agg(F.avg(F.coalesce("value", F.lit(0.0))).alias("value")).select(F.lit(metric).alias("metric"), "value")
+    inside = F.col("rank") <= int(k) if k else F.lit(True)
+    relevant = F.max("n_relevant")
+    hit = (F.col("relevance") > 0) & inside
+    got = F.sum(hit.cast("int"))
+    size = F.lit(float(k)) if k else F.count("key")
+    gain = lambda c: F.sum(F.when(inside, F.col(c) / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
+    how = {
+        "ndcg": lambda: gain("relevance") / gain("best"),
+        "map": lambda: F.sum(F.when(hit, F.col("seen") / F.col("rank")).otherwise(0.0)) / relevant,
+        "mrr": lambda: F.max(F.when(hit, 1.0 / F.col("rank")).otherwise(0.0)),
+        "r-precision": lambda: F.sum((hit & (F.col("rank") <= F.col("n_relevant"))).cast("int")) / relevant,
+        "hits": lambda: got.cast("double"),
+        "hit_rate": lambda: F.max(hit.cast("double")),
+        "recall": lambda: got / relevant,
+        "precision": lambda: F.when(size > 0, got / size).otherwise(0.0),
+        "f1": lambda: 2 * got / (size + relevant),
+    }
+    if name not in how:
+        raise ValueError(f"unknown metric {metric!r}")
+    return F.coalesce(how[name](), F.lit(0.0))
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, metrics: tuple[str, ...] = DEFAULT) -> DataFrame:
-    """metric, value: the mean over the queries that have a relevant key."""
-    relevant = qrels.where("relevance > 0")
-    queries = relevant.groupBy("query_id").agg(F.count("*").cast("int").alias("n_relevant"))
-    judged = run.join(queries, "query_id").join(qrels, ["query_id", "key"], "left").select("query_id", "rank", "n_relevant", F.coalesce("relevance", F.lit(0)).alias("relevance"))
-    judged = judged.withColumn("n_results", F.count("*").over(Window.partitionBy("query_id")))
-    ideal = relevant.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "key")))
-    return reduce(DataFrame.unionByName, [_one(m, judged, ideal, queries.select("query_id")) for m in metrics])
+    """metric, value: the mean over the queries that have a relevant key; all metrics come from one aggregate a query.
+
+    A query's results and its ideal ranking are laid side by side, by rank.
+    """
+    by_rank = Window.partitionBy("query_id").orderBy("rank")
+    ideal = qrels.where("relevance > 0").select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "key")).alias("rank"), F.col("relevance").alias("best"))
+    ideal = ideal.withColumn("n_relevant", F.count("*").over(Window.partitionBy("query_id")))
+    found = run.select("query_id", "key", "rank").join(qrels.select("query_id", "key", "relevance"), ["query_id", "key"], "left")
+    found = found.withColumn("relevance", F.coalesce("relevance", F.lit(0))).withColumn("seen", F.sum((F.col("relevance") > 0).cast("int")).over(by_rank))
+    both = found.join(ideal, ["query_id", "rank"], "full")
+    both = both.withColumn("n_relevant", F.max("n_relevant").over(Window.partitionBy("query_id"))).where("n_relevant is not null").fillna(0, ["relevance", "best"])
+    each = both.groupBy("query_id").agg(*[_value(m).alias(f"m{i}") for i, m in enumerate(metrics)])
+    mean = each.agg(*[F.coalesce(F.avg(f"m{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(len(metrics))])
+    return mean.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"m{i}").alias("value")) for i, m in enumerate(metrics)])))

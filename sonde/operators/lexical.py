@@ -1,86 +1,173 @@
-"""TF-IDF and BM25 indexes over character n-grams; an index is an immutable object that holds DataFrames."""
+"""TF-IDF and BM25 indexes over n-grams; an index is an immutable object whose batches hold DataFrames.
+
+Plan of a search: the n-grams of the queries' terms are counted in one pass over the documents and staged; all statistics
+are aggregates of that small table (one row a term), joined back. A later batch needs to know which of its n-grams the first
+batch had, so an index of several batches stages each batch's counts, once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonde.functions.text import content, gram_counts, n_grams, normalize, words
+from sonde.functions.text import content, gram_counts, n_grams, normalize, without_words, words
 from sonde.operators.sparse import search
+from sonde.sources.staging import staged
+
+
+@dataclass(frozen=True, eq=False)
+class Batch:
+    """What one add brings: key of each document; key, term, tf, length of its n-grams; n, mean: documents and their mean length.
+
+    length counts all n-grams of a document. ``sizes`` has it by key, also for documents without any.
+    """
+
+    keys: DataFrame
+    counts: DataFrame
+    sizes: DataFrame
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        return staged(self.counts, "counts")
 
 
 @dataclass(frozen=True)
 class Lexical:
+    """``analyzer``: "char_wb", "char", "word", or a function (docs, keys, text) to (keys, term, tf) of its own."""
+
     key: str
     on: str | list[str]
-    analyzer: str = "char_wb"
+    analyzer: str | Callable[[DataFrame, list[str], Column], DataFrame] = "char_wb"
     ngram_range: tuple[int, int] = (3, 5)
     strip_punctuation: bool = False
-    batches: tuple[DataFrame, ...] = field(default=(), repr=False)
+    strip_accents: bool = False
+    stop_words: tuple[str, ...] = ()
+    batches: tuple[Batch, ...] = field(default=(), repr=False)
 
-    def text(self):
-        return normalize(content(self.on), self.strip_punctuation)
+    def clean(self, text: Column) -> Column:
+        return without_words(normalize(text, self.strip_punctuation, self.strip_accents), self.stop_words)
+
+    def counted(self, rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
+        if callable(self.analyzer):
+            return self.analyzer(rows, keys, text)
+        return gram_counts(rows, keys, text, self.analyzer, self.ngram_range)
 
     def counts(self, docs: DataFrame) -> DataFrame:
-        return gram_counts(docs, self.key, self.text(), self.analyzer, self.ngram_range)
+        """key, term, tf of each document."""
+        return self.counted(docs, [self.key], self.clean(content(self.on)))
+
+    def size(self, text: Column) -> Column | None:
+        """The number of n-grams of a text by the lengths of its words alone, where the analyzer allows that."""
+        low, high = self.ngram_range
+        if self.analyzer == "char":
+            return n_grams(text, low, high)
+        if self.analyzer == "word":
+            return F.size(words(text)).cast("long")
+        if self.analyzer == "char_wb":
+            return F.aggregate(words(text), F.lit(0).cast("long"), lambda s, w: s + n_grams(w, low, high))
+        return None
+
+    def batch(self, docs: DataFrame) -> Batch:
+        text = self.clean(content(self.on))
+        size = self.size(text)
+        if size is None:
+            return self.batch_of_counts(docs.select(self.key), self.counts(docs))
+        rows = docs.select(self.key, text.alias("text"), size.alias("length"))
+        return Batch(docs.select(self.key), self.counted(rows, [self.key, "length"], F.col("text")), docs.select(self.key, size.alias("length")))
+
+    def batch_of_counts(self, keys: DataFrame, counts: DataFrame) -> Batch:
+        """A batch from its documents' keys and given (key, term, tf)."""
+        length = counts.groupBy(self.key).agg(F.sum("tf").alias("length"))
+        sizes = keys.join(length, self.key, "left").select(self.key, F.coalesce("length", F.lit(0)).cast("long").alias("length"))
+        return Batch(keys, counts.select(self.key, "term", "tf").join(length, self.key), sizes)
 
     def query_counts(self, queries: DataFrame) -> DataFrame:
         """query_id, term, tf of (query_id, query)."""
-        return gram_counts(queries, "query_id", normalize(F.coalesce("query", F.lit("")), self.strip_punctuation), self.analyzer, self.ngram_range)
+        return self.counted(queries, ["query_id"], self.clean(F.coalesce("query", F.lit(""))))
 
     def add(self, docs: DataFrame):
         """The index with one more batch. The first batch fixes the vocabulary."""
-        return replace(self, batches=(*self.batches, docs))
+        return replace(self, batches=(*self.batches, self.batch(docs)))
 
-    def vocabulary(self) -> DataFrame:
+    def add_counts(self, keys: DataFrame, counts: DataFrame):
+        """As ``add``, from the keys of the documents and their (key, term, tf)."""
+        return replace(self, batches=(*self.batches, self.batch_of_counts(keys, counts)))
+
+    def check(self) -> None:
         if not self.batches:
             raise ValueError("add documents first: they fix the vocabulary")
-        return self.counts(self.batches[0]).select("term").distinct()
+
+    def vocabulary(self) -> DataFrame:
+        self.check()
+        return self.batches[0].stored.select("term").distinct()
 
     def batch_counts(self, i: int, terms: DataFrame | None = None) -> DataFrame:
-        """key, term, tf of batch i: known terms only; ``terms`` narrows it further, before grams are aggregated by key."""
-        out = self.counts(self.batches[i])
+        """key, term, tf, length of batch i: known terms only; ``terms`` narrows it further, before grams are aggregated by key."""
+        self.check()
+        out = self.batches[i].stored if len(self.batches) > 1 else self.batches[i].counts
         if i:
             out = out.join(self.vocabulary(), "term", "left_semi")
+            lengths = self.lengths(i)
+            out = out.drop("length").join(lengths, self.key)
         return out.join(terms, "term", "left_semi") if terms is not None else out
 
+    def lengths(self, i: int) -> DataFrame:
+        """key, length: known n-grams of each document of batch i; for the first batch by the length of its words alone."""
+        self.check()
+        batch = self.batches[i]
+        if not i:
+            return batch.sizes
+        had = batch.stored.join(self.vocabulary(), "term", "left_semi").groupBy(self.key).agg(F.sum("tf").alias("length"))
+        return batch.keys.distinct().join(had, self.key, "left").select(self.key, F.coalesce("length", F.lit(0)).cast("long").alias("length"))
+
 
 @dataclass(frozen=True)
 class TfIdf(Lexical):
-    analyzer: str = "char"
+    analyzer: str | Callable[[DataFrame, list[str], Column], DataFrame] = "char"
 
     def idf(self) -> DataFrame:
         """term, idf of the first batch: ln((1 + N) / (1 + df)) + 1."""
-        n = self.batches[0].select(F.count("*").alias("n"))
-        df = self.counts(self.batches[0]).groupBy("term").agg(F.count("*").alias("df"))
+        self.check()
+        n = self.batches[0].keys.agg(F.count("*").alias("n"))
+        df = self.batches[0].stored.groupBy("term").agg(F.count("*").alias("df"))
         return df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
     @staticmethod
     def unit(weights: DataFrame, key: str) -> DataFrame:
-        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-        return weights.withColumn("weight", F.when(norm > 0, F.col("weight") / norm).otherwise(0.0))
+        """Weights by the length of their key's vector."""
+        norm = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        return weights.join(norm, key).select(key, "term", F.when(F.col("norm") > 0, F.col("weight") / F.col("norm")).otherwise(0.0).alias("weight"))
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """key, term, weight of all batches, each document of unit length; made once."""
+        idf = staged(self.idf(), "idf")
+        parts = [b.stored.join(idf, "term").select(self.key, "term", (F.col("tf") * F.col("idf")).alias("weight")) for b in self.batches]
+        return staged(reduce(DataFrame.unionByName, [self.unit(staged(p, "weights"), self.key) for p in parts]), "tfidf")
 
     def weights(self) -> DataFrame:
-        """key, term, weight of all batches, each document of unit length."""
-        idf = self.idf()
-        parts = [self.unit(self.counts(b).join(idf, "term").select(self.key, "term", (F.col("tf") * F.col("idf")).alias("weight")), self.key) for b in self.batches]
-        return reduce(DataFrame.unionByName, parts)
+        self.check()
+        return self.index
 
     def query_weights(self, queries: DataFrame) -> DataFrame:
-        return self.unit(self.query_counts(queries).join(self.idf(), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight")), "query_id")
+        asked = staged(self.query_counts(queries), "asked")
+        idf = self.idf().join(asked.select("term").distinct(), "term", "left_semi")
+        return self.unit(asked.join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight")), "query_id")
 
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        return search(self.query_weights(queries), self.weights(), self.key, k)
+        self.check()
+        return search(staged(self.query_weights(queries), "asked"), self.weights(), self.key, k)
 
 
 @dataclass(frozen=True)
 class BM25(Lexical):
     """``norm``: "batch" scales each term's postings of a batch to unit length, "global" those of all batches, None none.
 
-    ``idf``: "cf" weighs by how often a term occurs, "df" by in how many documents.
+    ``idf_by``: "cf" weighs by how often a term occurs, "df" by in how many documents.
     """
 
     b: float = 0.75
@@ -91,55 +178,65 @@ class BM25(Lexical):
 
     def term_frequency(self, upto: int, terms: DataFrame | None = None) -> DataFrame:
         """term, cf (or df) over the batches 0..upto."""
-        parts = [self.batch_counts(i, terms) for i in range(upto + 1)]
-        how = F.sum("tf") if self.idf_by == "cf" else F.count("*")
-        return reduce(DataFrame.unionByName, parts).groupBy("term").agg(how.alias("cf"))
+        parts = [self.batch_counts(i, terms).select("term", "tf") for i in range(upto + 1)]
+        return reduce(DataFrame.unionByName, parts).groupBy("term").agg((F.sum("tf") if self.idf_by == "cf" else F.count("*")).alias("cf"))
 
-    def lengths(self, i: int) -> DataFrame:
-        """key, length: known n-grams of each document of batch i; for the first batch by the length of its words alone."""
-        docs, (low, high) = self.batches[i], self.ngram_range
-        if i:
-            had = self.batch_counts(i).groupBy(self.key).agg(F.sum("tf").alias("length"))
-            return docs.select(self.key).distinct().join(had, self.key, "left").select(self.key, F.coalesce("length", F.lit(0)).alias("length"))
-        text = self.text()
-        if self.analyzer == "char":
-            return docs.select(self.key, n_grams(text, low, high).alias("length"))
-        return docs.select(self.key, F.aggregate(words(text), F.lit(0).cast("long"), lambda s, w: s + n_grams(w, low, high)).alias("length"))
+    def n_documents(self, upto: int) -> DataFrame:
+        return reduce(DataFrame.unionByName, [b.keys.select(F.lit(1).alias("one")) for b in self.batches[: upto + 1]]).agg(F.count("*").alias("n_docs"))
 
     def idf(self, i: int, terms: DataFrame | None = None) -> DataFrame:
         """term, idf as of batch i: ln((N - cf + 0.5) / (cf + 0.5) + 1) with N the documents so far."""
-        n = reduce(DataFrame.unionByName, [b.select(F.lit(1).alias("one")) for b in self.batches[: i + 1]]).agg(F.count("*").alias("n_docs"))
-        cf = F.col("cf")
-        return self.term_frequency(i, terms).join(F.broadcast(n)).select("term", F.log((F.col("n_docs") + 1) / (cf + 0.5)).alias("idf"))
+        n = self.n_documents(i)
+        return self.term_frequency(i, terms).join(F.broadcast(n)).select("term", F.log((F.col("n_docs") + 1) / (F.col("cf") + 0.5)).alias("idf"))
 
-    def batch_weights(self, i: int, terms: DataFrame | None = None) -> DataFrame:
-        """batch, key, term, weight before normalisation."""
-        lengths = self.lengths(i)
-        mean = lengths.agg(F.avg("length").alias("mean_length"))
-        sized = lengths.join(F.broadcast(mean))
+    def saturated(self, i: int, terms: DataFrame | None = None) -> DataFrame:
+        """batch, key, term, tf, value: the saturated frequency of each posting of batch i, with epsilon."""
+        mean = self.lengths(i).agg(F.avg("length").alias("mean_length"))
         regular = F.lit(self.k1) * (1 - self.b + self.b * F.col("length") / F.col("mean_length"))
         tf = F.col("tf")
-        weight = (tf * (self.k1 + 1) / (tf + regular) + self.epsilon) * F.col("idf")
-        rows = self.batch_counts(i, terms).join(sized, self.key).join(self.idf(i, terms), "term")
-        return rows.select(F.lit(i).alias("batch"), self.key, "term", weight.alias("weight"))
+        rows = self.batch_counts(i, terms).join(F.broadcast(mean))
+        return rows.select(F.lit(i).alias("batch"), self.key, "term", "tf", (tf * (self.k1 + 1) / (tf + regular) + self.epsilon).alias("value"))
+
+    def batch_weights(self, i: int, terms: DataFrame | None = None) -> DataFrame:
+        """batch, key, term, weight before normalisation."""
+        idf = self.idf(i, terms)
+        return self.saturated(i, terms).join(idf, "term").select("batch", self.key, "term", (F.col("value") * F.col("idf")).alias("weight"))
+
+    def factors(self, postings: DataFrame) -> DataFrame:
+        """term, factors: what the postings' values of each batch are multiplied by, from one aggregate of all of them.
+
+        A batch's weights are value * idf; over their length, idf is but its sign. With "global" each add scales the old postings,
+        whose length is then 1, together with the new.
+        """
+        many = range(len(self.batches))
+        mine = lambda i, x: F.sum(F.when(F.col("batch") == i, x))
+        how = F.col("tf") if self.idf_by == "cf" else F.lit(1)
+        sums = postings.groupBy("term").agg(*[F.coalesce(mine(i, how), F.lit(0)).alias(f"cf{i}") for i in many], *[F.coalesce(mine(i, F.col("value") * F.col("value")), F.lit(0.0)).alias(f"ss{i}") for i in many])
+        n = reduce(DataFrame.join, [F.broadcast(self.n_documents(i).withColumnRenamed("n_docs", f"n{i}")) for i in many])
+        idf = [F.log((F.col(f"n{i}") + 1) / (sum((F.col(f"cf{j}") for j in range(1, i + 1)), F.col("cf0")) + 0.5)) for i in many]
+        length = [F.sqrt(F.col(f"ss{i}")) for i in many]
+        if self.norm is None:
+            out = idf
+        elif self.norm == "batch":
+            out = [F.when(length[i] > 0, F.signum(idf[i]) / length[i]).otherwise(0.0) for i in many]
+        else:
+            out, before = [], F.lit(0.0)
+            for i in many:
+                added = idf[i] * idf[i] * F.col(f"ss{i}")
+                total = F.sqrt(before + added)
+                out = [F.when(total > 0, x / total).otherwise(0.0) for x in out] + [F.when(total > 0, idf[i] / total).otherwise(0.0)]
+                before = F.when(total > 0, 1.0).otherwise(0.0)
+        return sums.join(F.broadcast(n)).select("term", F.array(*out).alias("factors"))
 
     def weights(self, terms: DataFrame | None = None) -> DataFrame:
         """key, term, weight of the whole index, or of ``terms`` only: a term's weights depend on that term's postings alone."""
-        parts = [self.batch_weights(i, terms) for i in range(len(self.batches))]
-
-        def unit(rows: DataFrame, by: list[str]) -> DataFrame:
-            length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*by)))
-            return rows.withColumn("weight", F.when(length > 0, F.col("weight") / length).otherwise(0.0))
-
-        if self.norm == "global":  # each add scales old, already scaled postings and new ones together
-            out = unit(parts[0], ["term"])
-            for part in parts[1:]:
-                out = unit(out.unionByName(part), ["term"])
-        else:
-            out = reduce(DataFrame.unionByName, parts)
-            out = unit(out, ["batch", "term"]) if self.norm else out
-        return out.select(self.key, "term", "weight")
+        self.check()
+        if terms is not None:
+            terms = staged(terms, "terms")
+        postings = staged(reduce(DataFrame.unionByName, [self.saturated(i, terms) for i in range(len(self.batches))]), "postings")
+        return postings.join(self.factors(postings), "term").select(self.key, "term", (F.col("value") * F.element_at("factors", F.col("batch") + 1)).alias("weight"))
 
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        asked = self.query_counts(queries)
+        self.check()
+        asked = staged(self.query_counts(queries), "asked")
         return search(asked.select("query_id", "term", F.col("tf").cast("double").alias("weight")), self.weights(asked.select("term").distinct()), self.key, k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,20 @@ def flops(activations: DataFrame, n_rows: int | Column, threshold: float = 30.0,
     return by_term.agg(F.least(F.greatest(F.abs(F.lit(threshold) - F.coalesce(F.sum(F.col("mean") * F.col("mean")), F.lit(0.0))), F.lit(0.0)), F.lit(most)).alias("loss"))
 
 
+def triplet_flops(activations: DataFrame, triplets: DataFrame, threshold: float = 30.0, most: float = 1.0) -> DataFrame:
+    """``flops`` of (key, term, value) over the rows of all anchors, positives and negatives (keys), a key as often as it stands there."""
+    rows = triplets.select(F.explode(F.array("anchor", "positive", "negative")).alias("key"))
+    n = rows.agg(F.count("*").alias("n"))
+    weighted = rows.groupBy("key").agg(F.count("*").alias("times")).join(activations, "key").join(F.broadcast(n))
+    return flops(weighted.select("term", (F.col("value") * F.col("times") / F.col("n")).alias("value")), 1, threshold, most)
+
+
+def total(*parts: tuple[float, DataFrame]) -> DataFrame:
+    """loss: the losses, each times its weight, added up."""
+    weighted = [p.select((F.lit(w) * F.col("loss")).alias("loss")) for w, p in parts]
+    return reduce(DataFrame.unionByName, weighted).agg(F.sum("loss").alias("loss"))
+
+
 def flops_weight(step: Column, weight: float = 3e-6, steps: int = 10000) -> Column:
     """The weight that the step-th call (from 1) gets: it grows with the square of the step, which starts at 1 before the first call."""
     if steps <= 1:

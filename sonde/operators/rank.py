@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,3 +41,17 @@ def append(index: DataFrame, new: DataFrame) -> DataFrame:
 def fan_out(queries: DataFrame, results: DataFrame) -> DataFrame:
     """Results by query text for every row of ``queries`` (query_id, query), duplicates too."""
     return queries.join(results, "query")
+
+
+def distinct_queries(queries: DataFrame, order: list[Column] | None = None, warn: bool = False) -> DataFrame:
+    """One row a query text, of duplicates the last by ``order`` (query_id); ``warn`` counts them first and tells."""
+    if warn:
+        n, distinct = queries.agg(F.count("*"), F.count_distinct("query")).head()
+        if distinct < n:
+            warnings.warn(f"{n - distinct} duplicate queries: each text is answered once", stacklevel=2)
+    return first_of(queries, "query", order or [F.col("query_id").desc()])
+
+
+def distinct_contents(documents: DataFrame, key: str, content: Column) -> DataFrame:
+    """content, key, n: each distinct content, the least key that has it, and how many do."""
+    return documents.select(F.col(key), content.alias("content")).groupBy("content").agg(F.min(key).alias(key), F.count("*").alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +13,14 @@ DIGITS = 9
 
 
 def top_k(scores: DataFrame, key: str, k: int | None, positive: bool = True) -> DataFrame:
-    """query_id, rank, key, similarity: the k best keys of each query; ties go by key."""
+    """query_id, rank, key, similarity and further columns: the k best keys of each query; ties go by key."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", DIGITS)), key)
     ranked = scores.withColumn("rank", F.row_number().over(order))
     if k is not None:
         ranked = ranked.where(F.col("rank") <= k)
     if positive:
         ranked = ranked.where(F.round("similarity", DIGITS) > 0)
-    return ranked.select("query_id", "rank", key, "similarity")
+    return ranked.select("query_id", "rank", key, "similarity", *[c for c in scores.columns if c not in ("query_id", key, "similarity")])
 
 
 def products(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
@@ -50,6 +53,20 @@ def pair_products(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFr
     return pairs.select("pair").join(hit, "pair", "left").select("pair", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def triplet_scores(activations: DataFrame, triplets: DataFrame, in_batch_negatives: bool = False) -> DataFrame:
+    """row, positive, negative of (row, anchor, positive, negative): dot products; with in_batch the positive of the row before, too."""
+    return scored_sides(lambda pairs: pair_products(activations, activations, pairs), triplets, in_batch_negatives)
+
+
+def scored_sides(score: Callable[[DataFrame], DataFrame], triplets: DataFrame, in_batch_negatives: bool = False) -> DataFrame:
+    """row and a score for each side of the triplets; ``score`` takes (pair, left, right) to (pair, score). Rows without a score go."""
+    sides = {c: triplets.select(F.col("row").alias("pair"), F.col("anchor").alias("left"), F.col(c).alias("right")) for c in ("positive", "negative")}
+    if in_batch_negatives:
+        sides["in_batch"] = in_batch(triplets.select("row", "anchor", "positive")).select(F.col("row").alias("pair"), F.col("anchor").alias("left"), F.col("rolled").alias("right"))
+    each = [score(pairs).select(F.col("pair").alias("row"), F.col("score").alias(c)) for c, pairs in sides.items()]
+    return reduce(lambda x, y: x.join(y, "row"), each)
+
+
 def in_batch(pairs: DataFrame) -> DataFrame:
     """(row, anchor, positive) with each row's positive of the row before, the first row's of the last."""
     n = pairs.agg(F.count("*").alias("n"))

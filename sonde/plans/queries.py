@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonde.functions import text as T
-from sonde.functions.encode import HashingEncoder, encode
-from sonde.functions.vectors import dot
+from sonde.functions.encode import HashingEncoder, encode, encode_activations, encode_embedded, encode_vectors
+from sonde.functions.models import Activations, EmbeddedActivations, SineModel, TokenVectors, cosines
 from sonde.operators import dense, evaluate, lexical, losses, rank, sparse
 from sonde.plans.pipelines import retrieve_and_rank
 from sonde.sources import corpora
+from sonde.sources.staging import new_path
+from sonde.streaming.index import index_stream, load, stream_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,11 +95,19 @@ def triplets(spark, d) -> DataFrame:
     return keys.join(F.broadcast(n)).select(F.col("key").alias("row"), F.col("key").alias("anchor"), F.pmod(F.col("key") + 1, F.col("n")).alias("positive"), F.pmod(F.col("key") * 7 + 3, F.col("n")).alias("negative"))
 
 
+#: Candidates that a first stage hands to a ranker.
+FIRST = 20
+
+
 def candidates(spark, d) -> DataFrame:
-    """query_id, key: for each query key the keys with its remainder of 4."""
-    keys = vectors(spark, d).select("key").distinct()
-    q = keys.where("key % 20 = 0").select(F.col("key").alias("query_id"), (F.col("key") % 4).alias("r"))
-    return q.join(keys.withColumn("r", F.col("key") % 4), "r").select("query_id", "key")
+    """query_id, key, first_rank: the best FIRST keys of all by their activations, for each query key."""
+    q = query_activations(spark, d).select(F.col("key").alias("query_id"), "term", F.col("value").alias("weight"))
+    return sparse.search(q, activations(spark, d).withColumnRenamed("value", "weight"), "key", FIRST).select("query_id", "key", F.col("rank").alias("first_rank"))
+
+
+def document_candidates(spark, d) -> DataFrame:
+    """query_id, key, rank: the first stage of documents, ten for each item."""
+    return bm25(spark, d).search(asked(spark, d), 10).select("query_id", F.col("doc_id").alias("key"), "rank")
 
 
 N_SHINGLE = 8
@@ -147,6 +157,14 @@ def counts_char(name: str, source: str, key: str, text: str, low: int = 3, high:
 {name} AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(flatten([{', '.join(lists)}])) AS term FROM {name}_t) GROUP BY ALL)"""
 
 
+STOP = ("the", "of", "and", "le", "der")
+
+
+def counts_word(name: str, source: str, key: str, text: str, low: int = 0, high: int = 0) -> str:
+    return f"""{name}_w AS (SELECT {key}, unnest(string_split({norm(text)}, ' ')) AS term FROM {source}),
+{name} AS (SELECT {key}, term, count(*) AS tf FROM {name}_w WHERE term <> '' AND term NOT IN {STOP} GROUP BY ALL)"""
+
+
 PART_TEXT = "coalesce(p_name, '') || ' ' || coalesce(p_brand, '') || ' ' || coalesce(p_type, '')"
 S_DOCS = "sd AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 S_ASKED = "sq AS (SELECT item_id AS query_id, coalesce(text, '') AS query FROM benchmark)"
@@ -157,7 +175,8 @@ S_LOGITS = S_VEC + ", logits AS (SELECT key, pos, (i - 1)::INTEGER AS term, e[i]
 S_POOL = S_LOGITS + ", pooled AS (SELECT key, term, max(ln(1 + greatest(value, 0))) AS value FROM logits GROUP BY key, term)"
 S_ACT = S_POOL + ", act AS (SELECT key, term, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY value DESC, term) AS p FROM pooled) WHERE p <= 8)"
 S_TOK = S_ACT + ", tok AS (SELECT key, term AS token, e FROM act JOIN vec USING (key) WHERE pos = term % 5)"
-S_CAND = "ks AS (SELECT DISTINCT key FROM vec), cand AS (SELECT q.key AS query_id, d.key FROM ks q JOIN ks d ON q.key % 4 = d.key % 4 WHERE q.key % 20 = 0)"
+S_CAND = """cand AS (SELECT query_id, key, first_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, key)::INTEGER AS first_rank
+  FROM (SELECT q.key AS query_id, i.key, sum(q.value * i.value) AS similarity FROM act q JOIN act i USING (term) WHERE q.key % 20 = 0 GROUP BY ALL)) WHERE first_rank <= 20 AND round(similarity, 9) > 0)"""
 S_TRI = "ks AS (SELECT DISTINCT key FROM vec), tri AS (SELECT key AS row, key AS anchor, (key + 1) % (SELECT count(*) FROM ks) AS positive, (key * 7 + 3) % (SELECT count(*) FROM ks) AS negative FROM ks)"
 
 
@@ -173,7 +192,7 @@ qrels AS (SELECT query_id, doc_id AS key, CASE WHEN count(*) = any_value(n) THEN
 
 def s_bm25(name: str, batches: list[str], counts: str, low: int = 3, high: int = 5, k1: float = 1.5, b: float = 0.75, eps: float = 0.0, norm_by: str | None = "batch", df: bool = False, text: str = "text") -> str:
     """A BM25 index named ``name`` (doc_id, term, weight) of batches (tables of doc_id, text)."""
-    make = counts_wb if counts == "wb" else counts_char
+    make = {"wb": counts_wb, "char": counts_char, "word": counts_word}[counts]
     out = []
     for i, source in enumerate(batches):
         out.append(make(f"{name}_r{i}", source, "doc_id", text, low, high))
@@ -237,6 +256,11 @@ def text_normalize(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(T.normalize("text"), 256).alias("text_sha256"))
 
 
+@register("SELECT doc_id, sha256(trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g'))) AS text_sha256 FROM documents")
+def text_strip_accents(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2(T.normalize("text", strip_accents=True), 256).alias("text_sha256"))
+
+
 @register(f"WITH {S_DOCS}, {counts_char('g', 'sd', 'doc_id', 'text')} SELECT doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_grams, max(tf)::BIGINT AS most FROM g GROUP BY doc_id")
 def ngram_char_counts(spark, d):
     counts = T.gram_counts(spread(docs(spark, d)), "doc_id", T.normalize(T.content("text")), "char")
@@ -290,14 +314,22 @@ def bm25_idf(spark, d):
     return rounded(bm25(spark, d).idf(0), "idf")
 
 
-@register(f"WITH {S_PART_IX} SELECT doc_id, term, round(weight, 6) AS weight FROM ix_w0")
+def by_term(weights: DataFrame) -> DataFrame:
+    """A row a term: how many postings it has, the sum and the largest of their weights."""
+    return rounded(weights.groupBy("term").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("weight").alias("most")), "total", "most")
+
+
+S_BY_TERM = "SELECT term, count(*) AS n, round(sum(weight), 6) AS total, round(max(weight), 6) AS most FROM {} GROUP BY term"
+
+
+@register(f"WITH {S_DOCS}, {s_bm25('ix', ['sd'], 'wb')} {S_BY_TERM.format('ix_w0')}")
 def bm25_weights(spark, d):
-    return rounded(part_bm25(spark, d).batch_weights(0).select("doc_id", "term", "weight"), "weight")
+    return by_term(bm25(spark, d).batch_weights(0))
 
 
-@register(f"WITH {S_PART_IX} SELECT doc_id, term, round(weight, 6) AS weight FROM ix")
+@register(f"WITH {S_DOCS}, {s_bm25('ix', ['sd'], 'wb')} {S_BY_TERM.format('ix')}")
 def bm25_weights_l2(spark, d):
-    return rounded(part_bm25(spark, d).weights(), "weight")
+    return by_term(bm25(spark, d).weights())
 
 
 # --- lexical search ------------------------------------------------------------------------------------------------
@@ -328,6 +360,12 @@ def bm25_no_norm(spark, d):
     return rounded(bm25(spark, d, norm=None).search(asked(spark, d), 10), "similarity")
 
 
+@register(f"WITH {S_DOCS}, {S_ASKED}, {counts_word('asked', 'sq', 'query_id', 'query')}, {s_bm25('ix', ['sd'], 'word')} {s_top(s_search('asked', 'ix'))}")
+def bm25_words(spark, d):
+    """Whole words without stop words."""
+    return rounded(bm25(spark, d, analyzer="word", stop_words=STOP).search(asked(spark, d), 10), "similarity")
+
+
 def halves(spark, d, **options) -> lexical.BM25:
     every = spread(docs(spark, d))
     return lexical.BM25("doc_id", "text", **options).add(every.where("doc_id % 2 = 0")).add(every.where("doc_id % 2 = 1"))
@@ -356,9 +394,10 @@ def s_tfidf(batches: list[str], query: str | None) -> str:
     return ",\n".join(out)
 
 
-@register(f"WITH {S_PARTS}, {s_tfidf(['sp'], None)} SELECT doc_id, term, round(weight, 6) AS weight FROM ix")
+@register(f"WITH {S_DOCS}, {s_tfidf(['sd'], None)} SELECT doc_id, count(*) AS n, round(sum(weight), 6) AS total, round(max(weight), 6) AS most FROM ix GROUP BY doc_id")
 def tfidf_weights(spark, d):
-    return rounded(lexical.TfIdf("doc_id", PART_ON).add(parts(spark, d)).weights(), "weight")
+    weights = lexical.TfIdf("doc_id", "text").add(spread(docs(spark, d))).weights()
+    return rounded(weights.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("weight").alias("most")), "total", "most")
 
 
 @register(f"WITH {S_DOCS}, {S_ASKED}, {s_tfidf(['sd'], 'sq')} {s_top(s_search('asked', 'ix'))}")
@@ -424,8 +463,9 @@ def maxsim_floor_zero(spark, d):
     return rounded(dense.max_sim_all(vectors(spark, d), query_vectors(spark, d), 10, floor_zero=True), "similarity")
 
 
-@register(f"WITH {S_VEC}, {S_CAND} {s_top(S_MAXSIM.format(dot=DOT, pairs='cand'), 'key', 10, False)}")
+@register(f"WITH {S_ACT}, {S_CAND} SELECT r.*, first_rank FROM ({s_top(S_MAXSIM.format(dot=DOT, pairs='cand'), 'key', 10, False)}) r JOIN cand USING (query_id, key)")
 def maxsim_rank(spark, d):
+    """A candidate's own fields, here its rank in the first stage, stay with it."""
     return rounded(dense.max_sim_rank(vectors(spark, d), query_vectors(spark, d), candidates(spark, d), 10), "similarity")
 
 
@@ -479,26 +519,30 @@ def sparse_embed_pool(spark, d):
 # --- candidates, dedup, upkeep -------------------------------------------------------------------------------------
 
 
-@register(f"WITH {S_VEC}, {S_CAND} SELECT DISTINCT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents WHERE doc_id IN (SELECT key FROM cand)")
+S_FIRST = f"{s_bm25_docs()}, first AS (SELECT query_id, doc_id AS key, rank FROM ({s_top(s_search('asked', 'ix'))}))"
+
+
+@register(f"WITH {S_FIRST} SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents WHERE doc_id IN (SELECT key FROM first)")
 def candidates_lookup(spark, d):
-    wanted = candidates(spark, d).select(F.col("key").alias("doc_id"))
+    wanted = document_candidates(spark, d).select(F.col("key").alias("doc_id"))
     return rank.candidate_contents(wanted, docs(spark, d), "doc_id").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-@register(f"WITH {S_VEC}, {S_CAND} SELECT key FROM cand EXCEPT SELECT doc_id FROM documents")
+@register(f"WITH {S_FIRST} SELECT key FROM first EXCEPT SELECT doc_id FROM labels")
 def candidates_unknown(spark, d):
-    return rank.unknown_candidates(candidates(spark, d), docs(spark, d).select(F.col("doc_id").alias("key")), "key")
+    """Candidates without a label."""
+    return rank.unknown_candidates(document_candidates(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("key")), "key")
 
 
-@register(f"WITH {S_VEC}, {S_CAND}, c AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY key DESC) - 1 AS place FROM cand) SELECT query_id, place::INTEGER AS place, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY query_id, place) AS r FROM c) WHERE r = 1")
+@register(f"WITH {S_FIRST} SELECT query_id, (rank - 1)::INTEGER AS place, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY query_id, rank) AS r FROM first) WHERE r = 1")
 def flatten_candidates(spark, d):
-    nested = candidates(spark, d).groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("key")))).alias("documents"))
+    nested = document_candidates(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: F.struct(x["key"].alias("key"))).alias("documents"))
     return rank.flatten_candidates(nested, "key")
 
 
 @register("SELECT sha256(coalesce(text, '')) AS text_sha256, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY coalesce(text, '')")
 def content_dedup(spark, d):
-    return docs(spark, d).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return rank.distinct_contents(docs(spark, d), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumnRenamed("content", "text_sha256")
 
 
 @register("SELECT p_partkey, p_brand FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_partkey % 2 <> 0")
@@ -513,10 +557,10 @@ def add_append(spark, d):
     return rank.append(p.where("p_partkey % 2 = 0").select("p_partkey", "p_brand"), p.select("p_partkey", F.upper("p_name").alias("p_brand")))
 
 
-@register("SELECT sha256(text) AS query_sha256, first_at, last_at FROM (SELECT coalesce(text, '') AS text, min(conv_id * 1000 + turn) AS first_at, max(conv_id * 1000 + turn) AS last_at FROM conversations WHERE role = 'user' GROUP BY 1)")
+@register("SELECT sha256(query) AS query_sha256, max(query_id) AS query_id FROM (SELECT coalesce(text, '') AS query, conv_id * 1000 + turn AS query_id FROM conversations WHERE role = 'user') GROUP BY query")
 def query_dedup(spark, d):
-    q = table(spark, d, "conversations").where("role = 'user'").select(F.coalesce("text", F.lit("")).alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
-    return q.groupBy("query").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at")).select(F.sha2("query", 256).alias("query_sha256"), "first_at", "last_at")
+    q = table(spark, d, "conversations").where("role = 'user'").select(F.coalesce("text", F.lit("")).alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"))
+    return rank.distinct_queries(q).select(F.sha2("query", 256).alias("query_sha256"), "query_id")
 
 
 @register("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
@@ -548,9 +592,7 @@ def flops_schedule(spark, d):
 
 
 def sparse_scores(spark, d) -> DataFrame:
-    acts, t = activations(spark, d), triplets(spark, d)
-    side = lambda c: sparse.pair_products(acts, acts, t.select(F.col("row").alias("pair"), F.col("anchor").alias("left"), F.col(c).alias("right"))).select(F.col("pair").alias("row"), F.col("score").alias(c))
-    return side("positive").join(side("negative"), "row")
+    return sparse.triplet_scores(activations(spark, d), triplets(spark, d))
 
 
 S_SPARSE = f"ss AS (SELECT row, positive, negative FROM ({PAIR_PRODUCTS.format(side='positive')}) JOIN ({PAIR_PRODUCTS.format(side='negative')}) USING (row))"
@@ -562,15 +604,21 @@ def sparse_triplet_scores(spark, d):
     return rounded(sparse_scores(spark, d), "positive", "negative")
 
 
+S_ROLLED = "rolled AS (SELECT row, anchor, lag(positive, 1, (SELECT max_by(positive, row) FROM tri)) OVER (ORDER BY row) AS other FROM tri)"
+
+
+@register(f"WITH {S_ACT}, {S_TRI}, {S_SPARSE}, {S_ROLLED} SELECT row, round(positive, 6) AS positive, round(negative, 6) AS negative, round(coalesce((SELECT sum(a.value * b.value) FROM act a JOIN act b USING (term) WHERE a.key = anchor AND b.key = other), 0), 6) AS in_batch FROM ss JOIN rolled USING (row)")
+def sparse_in_batch_scores(spark, d):
+    return rounded(sparse.triplet_scores(activations(spark, d), triplets(spark, d), in_batch_negatives=True), "positive", "negative", "in_batch")
+
+
 @register(f"WITH {S_ACT}, {S_TRI}, {S_SPARSE} SELECT round({S_LOSS}, 6) AS loss FROM ss")
 def loss_ranking(spark, d):
     return rounded(losses.ranking(sparse_scores(spark, d)), "loss")
 
 
 def max_sim_scores(spark, d) -> DataFrame:
-    v, t = vectors(spark, d), triplets(spark, d)
-    side = lambda c: dense.max_sim_pairs(v, v, t.select("row", F.col("anchor").alias("query_id"), F.col(c).alias("key"))).select("row", F.col("similarity").alias(c))
-    return side("positive").join(side("negative"), "row")
+    return dense.max_sim_triplet_scores(vectors(spark, d), triplets(spark, d))
 
 
 def s_pair_maxsim(side: str) -> str:
@@ -586,15 +634,7 @@ def maxsim_triplet_scores(spark, d):
 
 
 def token_scores(spark, d, how: str = "sum") -> DataFrame:
-    """Triplets with a shared token on both sides only."""
-    t, tri = tokens(spark, d), triplets(spark, d)
-
-    def side(c):
-        hit = dense.shared_tokens(t, t, tri.select(F.col("anchor").alias("query_id"), F.col(c).alias("key")))
-        value = hit.groupBy("query_id").agg(dense.reduced(F.col("product"), how).alias(c))
-        return value.select(F.col("query_id").alias("row"), (F.col(c) / 64 if how == "mean" else F.col(c)).alias(c))
-
-    return side("positive").join(side("negative"), "row")
+    return dense.token_triplet_scores(tokens(spark, d), triplets(spark, d), how)
 
 
 def s_pair_tokens(side: str) -> str:
@@ -604,6 +644,11 @@ def s_pair_tokens(side: str) -> str:
 S_TS = f"ts AS (SELECT row, positive, negative, mean_positive, mean_negative FROM {s_pair_tokens('positive')} JOIN {s_pair_tokens('negative')} USING (row))"
 
 
+@register(f"WITH {S_VEC}, {S_TRI}, {S_MS}, {S_ROLLED} SELECT row, round(positive, 6) AS positive, round(negative, 6) AS negative, round(in_batch, 6) AS in_batch FROM ms JOIN (SELECT row, sum(best) AS in_batch FROM (SELECT row, q.pos, max({DOT}) AS best FROM rolled JOIN vec q ON q.key = anchor JOIN vec t ON t.key = other GROUP BY row, q.pos) GROUP BY row) USING (row)")
+def maxsim_in_batch_scores(spark, d):
+    return rounded(dense.max_sim_triplet_scores(vectors(spark, d), triplets(spark, d), in_batch_negatives=True), "positive", "negative", "in_batch")
+
+
 @register(f"WITH {S_TOK}, {S_TRI}, {S_TS} SELECT row, round(positive, 6) AS positive, round(negative, 6) AS negative FROM ts")
 def dense_triplet_scores(spark, d):
     return rounded(token_scores(spark, d), "positive", "negative")
@@ -628,25 +673,12 @@ S_FLOPS_100 = "(SELECT least(abs(100 - sum(m * m)), 10) FROM (SELECT sum(abs(val
 
 
 def triple_flops(spark, d) -> DataFrame:
-    """The flops loss over the rows of anchors, positives and negatives."""
-    t = triplets(spark, d)
-    rows = t.select(F.explode(F.array("anchor", "positive", "negative")).alias("key"))
-    n = rows.agg(F.count("*").alias("n"))
-    weighted = rows.groupBy("key").agg(F.count("*").alias("times")).join(activations(spark, d), "key").join(F.broadcast(n))
-    return losses.flops(weighted.select("term", (F.col("value") * F.col("times") / F.col("n")).alias("value")), 1, 100.0, 10.0)
-
-
-def total(*parts: tuple[float, DataFrame]) -> DataFrame:
-    out = None
-    for w, p in parts:
-        one = p.select((F.lit(w) * F.col("loss")).alias("loss"))
-        out = one if out is None else out.unionByName(one)
-    return out.agg(F.sum("loss").alias("loss"))
+    return losses.triplet_flops(activations(spark, d), triplets(spark, d), 100.0, 10.0)
 
 
 @register(f"WITH {S_ACT}, {S_TRI}, {S_SPARSE} SELECT round((SELECT {S_LOSS} FROM ss) + 3e-6 * {S_FLOPS_100}, 6) AS loss")
 def train_loss_splade(spark, d):
-    return rounded(total((1.0, losses.ranking(sparse_scores(spark, d))), (3e-6, triple_flops(spark, d))), "loss")
+    return rounded(losses.total((1.0, losses.ranking(sparse_scores(spark, d))), (3e-6, triple_flops(spark, d))), "loss")
 
 
 @register(f"WITH {S_VEC}, {S_TRI}, {S_MS} SELECT round({S_LOSS}, 6) AS loss FROM ms")
@@ -656,7 +688,7 @@ def train_loss_colbert(spark, d):
 
 @register(f"WITH {S_TOK}, {S_TRI}, {S_SPARSE}, {S_TS} SELECT round((SELECT {S_LOSS} FROM ts) + 0.1 * (SELECT {S_LOSS} FROM ss) + 3e-6 * {S_FLOPS_100}, 6) AS loss")
 def train_loss_sparse_embed(spark, d):
-    return rounded(total((1.0, losses.ranking(token_scores(spark, d))), (0.1, losses.ranking(sparse_scores(spark, d))), (3e-6, triple_flops(spark, d))), "loss")
+    return rounded(losses.total((1.0, losses.ranking(token_scores(spark, d))), (0.1, losses.ranking(sparse_scores(spark, d))), (3e-6, triple_flops(spark, d))), "loss")
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------
@@ -757,6 +789,42 @@ def encode_map_in_pandas(spark, d):
     return encode(docs(spark, d), "doc_id", F.coalesce("text", F.lit("")), lambda: HashingEncoder(16, None), "[D] ", whole, "n_tokens int, total array<double>")
 
 
+#: Places of a text that the encoders' model sees: more than any p_name has, with prefix and masks.
+PLACES = 24
+S_PLACES = "places AS (SELECT p_partkey, (i - 1)::INTEGER AS pos, (7 * unicode(substr(w[i], 1, 1)) + 13 * length(w[i])) % 32 + 1 AS number FROM (SELECT p_partkey, list_filter(string_split(regexp_replace({text}, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM part), range(1, len(w) + 1) r(i))"
+S_MASKED = S_PLACES.format(text="coalesce(p_name, '') || ' [MASK] [MASK] [MASK]'") + """,
+enc_logits AS (SELECT p_partkey, pos, (v - 1)::INTEGER AS term, 4 * sin(number * v / 2.0::DOUBLE + pos) AS value FROM places, range(1, 33) x(v)),
+enc_act AS (SELECT p_partkey, term, value FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY value DESC, term) AS p FROM (SELECT p_partkey, term, max(ln(1 + greatest(value, 0))) AS value FROM enc_logits GROUP BY ALL)) WHERE p <= 8)"""
+
+
+def part_names(spark, d) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.coalesce("p_name", F.lit("")).alias("p_name"))
+
+
+@register(f"""WITH {S_PLACES.format(text="'[D] ' || coalesce(p_name, '')")}, states AS (SELECT p_partkey, pos, h, sin(number * h + pos) AS x FROM places, range(1, 7) y(h)),
+mixed AS (SELECT p_partkey, pos, (e - 1)::INTEGER AS dim, sum(x * cos(h * (e + 1))) AS x FROM states, range(1, 5) z(e) GROUP BY ALL)
+SELECT p_partkey, pos, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_partkey, pos)), 6) AS value FROM mixed""")
+def encode_vectors_of_places(spark, d):
+    """Unit vectors of a text's places; those of padding, zero vectors, are left out here."""
+    made = encode_vectors(part_names(spark, d), "p_partkey", F.col("p_name"), lambda: TokenVectors(SineModel(), cosines(6, 4), PLACES))
+    flat = made.where(F.exists("embedding", lambda x: x != 0)).select("p_partkey", "pos", F.posexplode("embedding").alias("dim", "value"))
+    return rounded(flat, "value")
+
+
+@register(f"WITH {S_MASKED} SELECT p_partkey, term, round(value, 6) AS value FROM enc_act")
+def encode_sparse(spark, d):
+    return rounded(encode_activations(part_names(spark, d), "p_partkey", F.col("p_name"), lambda: Activations(SineModel(), PLACES, top=8)), "value")
+
+
+@register(f"""WITH {S_MASKED}, soft AS (SELECT p_partkey, pos, term, exp(l.value) AS e FROM enc_logits l JOIN (SELECT p_partkey, term FROM enc_act) USING (p_partkey, term)),
+weight AS (SELECT p_partkey, pos, term, e / sum(e) OVER (PARTITION BY p_partkey, pos) AS w FROM soft),
+mixed AS (SELECT p_partkey, term, h, sum(w * sin(number * h + pos)) AS x FROM weight JOIN places USING (p_partkey, pos), range(1, 7) y(h) GROUP BY ALL)
+SELECT p_partkey, term AS token, (e - 1)::INTEGER AS dim, round(greatest(sum(x * cos(h * (e + 1))), 0), 6) AS value FROM mixed, range(1, 5) z(e) GROUP BY ALL""")
+def encode_sparse_embedded(spark, d):
+    made = encode_embedded(part_names(spark, d), "p_partkey", F.col("p_name"), lambda: EmbeddedActivations(SineModel(), PLACES, top=8, linear=cosines(6, 4)))
+    return rounded(made.select("p_partkey", "token", F.posexplode("embedding").alias("dim", "value")), "value")
+
+
 @register(f"""WITH {s_bm25_docs()}, {S_VEC}, c AS (SELECT query_id, doc_id % (SELECT count(DISTINCT key) FROM vec) AS key FROM ({s_top(s_search('asked', 'ix'))})), cand AS (SELECT DISTINCT query_id, key FROM c)
 {s_top(S_MAXSIM.format(dot=DOT, pairs='cand'), 'key', 5, False)}""")
 def pipeline_bm25_maxsim(spark, d):
@@ -766,20 +834,12 @@ def pipeline_bm25_maxsim(spark, d):
     return rounded(retrieve_and_rank(first, v, v, 5), "similarity")
 
 
-@register()
+@register(SQL["bm25_two_batch"])
 def stream_index(spark, d):
-    """documents as a stream, a micro-batch per file; returns the batches' counts as the index folder holds them."""
-    import os
-    import tempfile
-
-    from sonde.streaming.index import index_stream, stream_table
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sonde-stream-")
-    folder = f"{shared}/stream-{os.urandom(6).hex()}"
-    docs(spark, d).where("doc_id is not null").repartition(2).write.parquet(f"{folder}/in")
-    stream = stream_table(spark, docs(spark, d).schema, f"{folder}/in")
-    index_stream(stream, "doc_id", "text", folder, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/counts").groupBy("doc_id").agg(F.sum("tf").alias("length"))
-
-
-SQL["stream_index"] = f"WITH {S_DOCS}, {counts_wb('g', 'sd', 'doc_id', 'text')} SELECT doc_id, sum(tf)::BIGINT AS length FROM g GROUP BY doc_id"
+    """documents as a stream of two micro-batches, those with an even id first; a search of the index that ``load`` makes of them."""
+    folder = new_path(spark, "stream")
+    every, index = docs(spark, d), lexical.BM25("doc_id", "text")
+    for rest in (0, 1):
+        every.where(f"doc_id % 2 = {rest}").write.mode("append").parquet(f"{folder}/in")
+        index_stream(stream_table(spark, every.schema, f"{folder}/in", 1 << 30), index, folder, f"{folder}/checkpoint").awaitTermination()
+    return rounded(load(spark, index, folder).search(asked(spark, d), 10), "similarity")

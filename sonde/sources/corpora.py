@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonde.functions.text import content
+from sonde.sources.staging import staged
 
 
 def read_beir(spark: SparkSession, folder: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -22,33 +23,43 @@ def read_beir(spark: SparkSession, folder: str, split: str = "test") -> tuple[Da
     return docs, last.select("query_id", "query"), judged.join(last, "query_id", "left_semi")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, within: str | None = None) -> DataFrame:
+    """``rows`` with ``name``: their place from 0 by ``order``, in all or in each group ``within``, that no task sees whole.
+
+    Rows are dealt to ranges of the order, written once, and numbered inside a range behind the rows of the ranges before it.
+    """
+    first = [within] if within else []
+    part, at = f"_{name}_part", f"_{name}_at"
+    dealt = staged(rows.repartitionByRange(*first, *order).withColumn(part, F.spark_partition_id()), "numbered")
+    here = dealt.withColumn(at, F.row_number().over(Window.partitionBy(*first, part).orderBy(*order)) - 1)
+    sizes = dealt.groupBy(*first, part).agg(F.count("*").alias("_c"))  # a row a range, and a group's part of it
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*first).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return here.join(sizes, [*first, part]).withColumn(name, F.col("_before") + F.col(at)).select(*rows.columns, name)
+
+
 def triples(qrels: DataFrame, queries: DataFrame, documents: DataFrame, key: str, on: str | list[str], seed: int = 0, exclude_positive: bool = False) -> DataFrame:
     """query_id, key, anchor, positive, negative_key, negative: for each relevant pair a document picked by arithmetic from all.
 
     ``documents`` are numbered by key; the pick is (query_id * 7919 + number of the positive + seed) mod n, or the next if it is excluded.
     """
     n = documents.agg(F.count("*").alias("n"))
-    # numbers without a single-partition window: counts per hash-free range of keys, then row numbers inside
-    parts = documents.select(F.col(key).alias("key"), content(on).alias("content"), (F.col(key) / 1024).cast("long").alias("part"))
-    before = parts.groupBy("part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = parts.join(before, "part").select("key", "content", (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1).alias("number"))
-    pairs = qrels.where("relevance > 0").join(queries, "query_id").join(numbered, "key").join(F.broadcast(n))
+    numbers = numbered(documents.select(F.col(key).alias("key"), content(on).alias("content")), ["key"], "number")
+    pairs = qrels.where("relevance > 0").join(queries, "query_id").join(numbers, "key").join(F.broadcast(n))
     pick = F.pmod(F.col("query_id") * 7919 + F.col("number") + seed, F.col("n"))
     if exclude_positive:
         pick = F.when(pick == F.col("number"), F.pmod(pick + 1, F.col("n"))).otherwise(pick)
     picked = pairs.select("query_id", "key", F.col("query").alias("anchor"), F.col("content").alias("positive"), pick.alias("number"))
-    other = numbered.select("number", F.col("key").alias("negative_key"), F.col("content").alias("negative"))
+    other = numbers.select("number", F.col("key").alias("negative_key"), F.col("content").alias("negative"))
     return picked.join(other, "number").drop("number")
 
 
 def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """``rows`` with batch: consecutive runs of ``size`` rows by ``order``."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    return numbered(rows, order, "batch").withColumn("batch", F.floor(F.col("batch") / size))
 
 
 def epochs(rows: DataFrame, key: str, n_epochs: int, size: int, shuffle: bool = True, seed: int = 0) -> DataFrame:
-    """epoch, batch and the rows, each epoch in an order of its own (``shuffle``) or by key."""
+    """The rows with epoch and batch, each epoch in an order of its own (``shuffle``) or by key."""
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(n_epochs))))
     place = F.pmod((F.col(key) + seed) * (2 * F.col("epoch") + 7919), F.lit(1_000_003)) if shuffle else F.lit(0)
-    at = F.row_number().over(Window.partitionBy("epoch").orderBy(place, key))
-    return each.withColumn("batch", F.floor((at - 1) / size))
+    return numbered(each.withColumn("_place", place), ["_place", key], "batch", "epoch").drop("_place").withColumn("batch", F.floor(F.col("batch") / size))

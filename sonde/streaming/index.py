@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sonde.operators.lexical import BM25
+from sonde.operators.lexical import BM25, Lexical
 
 
-def index_stream(stream: DataFrame, key: str, on: str, folder: str, checkpoint: str, vocabulary: DataFrame | None = None) -> StreamingQuery:
-    """Append each micro-batch's n-gram counts to ``folder``/counts, partitioned by batch; ``load`` makes the index from them.
+def index_stream(stream: DataFrame, index: Lexical, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append each micro-batch's keys and n-gram counts to ``folder``, by batch; ``load`` makes the index from them.
 
-    A micro-batch that runs again overwrites its own partition. One batch's statistics never need another batch's texts.
+    A micro-batch that runs again overwrites its own part. No batch needs another one's texts.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        counts = BM25(key, on).counts(batch)
-        if vocabulary is not None:
-            counts = counts.join(vocabulary, "term", "left_semi")
-        counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+        index.counts(batch).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+        batch.select(index.key).write.mode("overwrite").parquet(f"{folder}/keys/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_table(spark, schema, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def load(spark: SparkSession, index: BM25, folder: str) -> BM25:
+    """``index`` with a batch for each micro-batch in ``folder``, in their order; empty ones are left out."""
+    keys = spark.read.parquet(f"{folder}/keys")
+    counts = spark.read.parquet(f"{folder}/counts")
+    for batch in sorted(r.batch for r in keys.select("batch").distinct().collect()):  # one row a micro-batch
+        mine = F.col("batch") == batch
+        index = index.add_counts(keys.where(mine).drop("batch"), counts.where(mine).drop("batch"))
+    return index
 
 
-def on_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_table(spark: SparkSession, schema, path: str, files_per_trigger: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -11,12 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonde.functions import text as T
-from sonde.functions.encode import HashingEncoder, encode
+from sonde.functions.encode import HashingEncoder, encode, encode_embedded, encode_vectors
+from sonde.functions.models import Activations, EmbeddedActivations, SineModel, TokenVectors, cosines, freeze
 from sonde.functions.vectors import dot, max_sim
 from sonde.operators import dense, evaluate, losses, rank, sparse
 from sonde.operators.lexical import BM25, TfIdf
 from sonde.plans.queries import QUERIES, SQL
-from sonde.sources import corpora, store
+from sonde.sources import corpora, staging, store
 
 TINY = [(0, "Food"), (1, "Sports"), (2, "Cinema")]
 ASKED = [(0, "Food"), (1, "Sports"), (2, "Cinema food sports"), (3, "cinema")]
@@ -54,9 +55,59 @@ def test_tfidf_finds_itself(spark):
     assert got[0] == {0: pytest.approx(1)} and got[1] == {1: pytest.approx(1)} and got[3] == {2: pytest.approx(1)}
 
 
-def test_no_documents_no_vocabulary():
-    with pytest.raises(ValueError):
-        BM25("id", "document").vocabulary()
+def test_no_documents_no_vocabulary(spark):
+    _, asked = frames(spark)
+    for kind in (BM25, TfIdf):
+        index = kind("id", "document")
+        for call in (index.vocabulary, index.weights, lambda index=index: index.search(asked)):
+            with pytest.raises(ValueError, match="add documents first"):
+                call()
+
+
+def test_accents_words_and_stop_words(spark):
+    df = spark.createDataFrame([("Été  À la FORÊT e\u0301t ß ø",)], "t string")
+    assert df.select(T.normalize(F.col("t"), strip_accents=True)).head()[0] == "ete a la foret et ß ø"
+    docs, asked = frames(spark, [(0, "the food"), (1, "the sports the"), (2, "the")], [(0, "the food"), (1, "the")])
+    assert results(BM25("id", "document", analyzer="word", stop_words=("the",)).add(docs).search(asked)) == {0: {0: pytest.approx(1)}}
+    def letters(rows, keys, text):
+        return rows.select(*keys, F.explode(F.split(text, "")).alias("term")).where("term <> ' '").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+    own = BM25("id", "document", analyzer=letters).add(frames(spark)[0])
+    assert {r.term for r in own.weights().collect()} == set("foodsportscinema")
+    assert results(own.search(asked.where("query_id = 0")))[0][0] > 0
+
+
+def test_folded_idf_is_the_plain_formula(spark):
+    """A batch's weights over their length need idf's sign only: against weights made step by step."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(("ab", "abc", "bcd", "zzz", "q")) for _ in range(rng.randint(0, 9)))) for i in range(12)]
+    for norm in ("batch", "global", None):
+        index = BM25("id", "document", norm=norm, ngram_range=(1, 2))
+        parts = [docs[:5], docs[5:9], docs[9:]]
+        for part in parts:
+            index = index.add(frames(spark, part)[0])
+        grams = lambda t: [w[i : i + n] for w in t.split() for n in (1, 2) for i in range(len(w) - n + 1)]
+        known = {g for _, t in parts[0] for g in grams(t)}
+        want, cf, n = {}, {}, 0
+        for part in parts:
+            tf = {i: {} for i, _ in part}
+            for i, t in part:
+                for g in grams(t):
+                    if g in known:
+                        tf[i][g] = tf[i].get(g, 0) + 1
+                        cf[g] = cf.get(g, 0) + 1
+            n += len(part)
+            mean = sum(sum(c.values()) for c in tf.values()) / len(part)
+            new = {(i, g): c * 2.5 / (c + 1.5 * (0.25 + 0.75 * sum(tf[i].values()) / mean)) * math.log((n + 1) / (cf[g] + 0.5)) for i in tf for g, c in tf[i].items()}
+            every = {**want, **new}
+            for g in known if norm else ():
+                length = math.sqrt(sum(v * v for (_, x), v in (every if norm == "global" else new).items() if x == g))
+                for k in list(every if norm == "global" else new):
+                    if k[1] == g and length:
+                        every[k] /= length
+            want = every
+        got = {(r.id, r.term): r.weight for r in index.weights().collect()}
+        assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
 
 
 def test_nulls_empty_texts_and_empty_tables(spark):
@@ -86,14 +137,14 @@ def test_content_keeps_the_blank_of_a_null(spark):
 @pytest.mark.parametrize(
     "name",
     [
-        "content_concat", "text_prefix_suffix", "ngram_wb_counts", "term_cf", "bm25_weights_l2", "bm25_topk", "bm25_two_batch", "bm25_df_idf", "tfidf_oov_batch", "splade_pool", "sparse_dot_topk", "decode_tokens",
+        "content_concat", "text_prefix_suffix", "text_strip_accents", "bm25_words", "bm25_global_norm", "encode_vectors_of_places", "encode_sparse", "encode_sparse_embedded", "maxsim_in_batch_scores", "candidates_unknown", "query_dedup", "content_dedup", "batches", "ngram_wb_counts", "term_cf", "bm25_weights_l2", "bm25_topk", "bm25_two_batch", "bm25_df_idf", "tfidf_oov_batch", "splade_pool", "sparse_dot_topk", "decode_tokens",
         "maxsim_retrieve", "maxsim_rank", "sparse_embed_retrieve", "intersect_scores", "sparse_embed_pool", "flatten_candidates", "fan_out_duplicates", "train_loss_sparse_embed", "in_batch_roll", "eval_map", "eval_ndcg", "triples", "epochs", "stream_index",
     ],
 )
 def test_parity_with_sql(spark, sf, name):
     got = QUERIES[name](spark, sf).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "part", "embeddings", "conversations"):
+    for t in ("documents", "benchmark", "part", "embeddings", "conversations", "labels"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.sql(SQL[name]).df()
     columns = sorted(got.columns)
@@ -107,9 +158,13 @@ def plan(df):
 
 
 def test_plans_stay_in_the_jvm_and_limit_early(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    terms = spark.createDataFrame([("the",)], "term string")
+    postings = plan(BM25("doc_id", "text").add(docs).saturated(0, terms))
+    assert "Python" not in postings and "Cartesian" not in postings and postings.count("FileScan parquet") == 2  # the n-grams, and the mean length
+    assert postings.count("ReadSchema: struct<doc_id:bigint,text:string>") + postings.count("ReadSchema: struct<text:string>") == 2
     p = plan(QUERIES["bm25_topk"](spark, sf))
-    assert "WindowGroupLimit" in p and "Python" not in p and "CartesianProduct" not in p
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
+    assert "WindowGroupLimit" in p and "Python" not in p and "Window [" in p and "text:string" not in p
 
 
 def test_max_sim_against_numpy(spark):
@@ -180,6 +235,85 @@ def test_negatives_can_exclude_the_positive(spark):
     assert len(got) == 5 and all(r.key != r.negative_key for r in got)
 
 
+def test_numbers_by_ranges(spark):
+    rows = [(i * 7919 % 1000, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g int")
+    got = corpora.numbered(df, ["id"], "n").collect()
+    assert sorted((r.n, r.id) for r in got) == list(enumerate(sorted(i for i, _ in rows)))
+    got = corpora.numbered(df, ["id"], "n", "g").collect()
+    for g in range(3):
+        assert sorted((r.n, r.id) for r in got if r.g == g) == list(enumerate(sorted(i for i, k in rows if k == g)))
+    assert corpora.batches(df.limit(0), ["id"], 8).count() == 0
+
+
+def test_heads(spark):
+    vectors = TokenVectors(SineModel(), cosines(6, 4), 8)
+    a, b = vectors.encode(["one two", "a b c d e f g h i j k"])
+    assert a.shape == b.shape == (8, 4) and np.allclose(np.linalg.norm(a, axis=1), [1] * 3 + [0] * 5) and np.allclose(np.linalg.norm(b, axis=1), 1)
+    sparse_head, dense_head = Activations(SineModel(), 9, top=5), EmbeddedActivations(SineModel(), 9, top=5, linear=cosines(6, 4))
+    logits, hidden, mask = SineModel().forward(["x yy [MASK] [MASK] [MASK]"], 9)
+    value = np.log1p(np.maximum(logits[0, :5], 0)).max(0)
+    terms, values = sparse_head.encode(["x yy"])[0]
+    assert terms.tolist() == sorted(range(32), key=lambda t: (-value[t], t))[:5] and np.allclose(values, value[terms])
+    at = np.exp(logits[0][:, terms] * mask[0][:, None])
+    want = np.maximum((at / at.sum(1, keepdims=True)).T @ (hidden[0] * mask[0][:, None]) @ cosines(6, 4), 0)
+    assert np.allclose(dense_head.encode(["x yy"])[0][2], want)
+    df = spark.createDataFrame([(1, "x yy"), (2, "x yy"), (3, "")], "id long, t string")
+    rows = encode_embedded(df, "id", F.col("t"), lambda: EmbeddedActivations(SineModel(), 9, top=5)).collect()
+    assert len(rows) == 15 and {r.token for r in rows if r.id == 1} == set(terms.tolist())
+    assert encode_vectors(df, "id", F.col("t"), lambda: TokenVectors(SineModel(), cosines(6, 4), 8)).count() == 24
+
+
+def test_freeze_leaves_the_last():
+    class Parameter:
+        requires_grad = True
+
+    class Holder:
+        every = [Parameter() for _ in range(7)]
+
+        def parameters(self):
+            return iter(self.every)
+
+    freeze(Holder(), 3)
+    assert [p.requires_grad for p in Holder.every] == [False] * 4 + [True] * 3
+
+
+def test_duplicate_queries(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "query_id long, query string")
+    with pytest.warns(UserWarning, match="1 duplicate"):
+        got = rank.distinct_queries(df, warn=True).collect()
+    assert sorted((r.query, r.query_id) for r in got) == [("a", 3), ("b", 2)]
+
+
+def test_rank_keeps_the_candidates_fields(spark):
+    df = spark.createDataFrame([(k, 0, [float(k), 1.0]) for k in range(4)], "key long, pos int, embedding array<double>")
+    cand = spark.createDataFrame([(1, 2, "x", 9), (1, 3, "y", 8)], "query_id long, key long, title string, rank int")
+    got = dense.max_sim_rank(df, df, cand).collect()
+    assert [(r["rank"], r.key, r.title) for r in got] == [(1, 3, "y"), (2, 2, "x")]
+
+
+def test_persisted_embeddings_and_checkpoints(spark, tmp_path):
+    df = spark.createDataFrame([(k, [float(k)]) for k in range(4)], "key long, embedding array<double>")
+    store.save_embeddings(df, str(tmp_path / "e"))
+    assert sorted(map(tuple, store.load_embeddings(spark, str(tmp_path / "e")).collect())) == sorted(map(tuple, df.collect()))
+    store.save_checkpoint(spark, str(tmp_path / "m"), {"linear": cosines(3, 2), "bias": np.zeros(2)}, {"length": 32})
+    weights, params = store.load_checkpoint(spark, str(tmp_path / "m"))
+    assert params == {"length": 32} and np.array_equal(weights["linear"], cosines(3, 2)) and weights["bias"].shape == (2,)
+
+
+def test_shared_folder_must_be_given_on_a_cluster(monkeypatch):
+    class Fake:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Fake)
+
+
 def test_store_round_trip(spark, tmp_path):
     docs, _ = frames(spark)
     store.save_index(BM25("id", "document").add(docs).weights(), str(tmp_path / "ix"), {"b": 0.75})
