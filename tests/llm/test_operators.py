@@ -432,23 +432,55 @@ def test_wand_is_exact():
         assert set(index.above(np.array(terms)).tolist()) == want == {i for i, _ in index.wand(terms, range(150))}
 
 
-def test_search_against_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(search, "SHARD", 16)
-    monkeypatch.setattr(search, "BLOCK", 4)
-    one = docs.dropDuplicates(["doc_id"])
-    got = search.top_k(one, one.where("doc_id % 5 = 0"), 4)
-    words = {i: [w for c in t.split() if (w := c.lower().strip(search.EDGE))] for i, t in texts().items()}
-    df = Counter(w for x in words.values() for w in set(x))
-    n, mean = len(words), sum(map(len, words.values())) / len(words)
-    for q in [i for i in words if i % 5 == 0]:
+@pytest.mark.parametrize("head", [1024, 8])
+def test_search_against_brute_force(docs, monkeypatch, head):
+    """Repeated rows are documents of their own, rows without doc_id none; equal scores go by doc_id."""
+    for name, value in (("SHARD", 16), ("BLOCK", 4), ("HEAD", head), ("QUERIES", 5), ("READ", 40), ("TASK_BLOCKS", 2)):
+        monkeypatch.setattr(search, name, value)
+    every = docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    got = search.top_k(every, every.where("doc_id % 5 = 0 or doc_id is null"), 4).collect()
+    rows = [(i, [w for c in (t or "").split() if (w := c.lower().strip(search.EDGE))]) for i, t in ROWS]
+    df = Counter(w for _, x in rows for w in set(x))
+    n, mean = len(rows), sum(len(x) for _, x in rows) / len(rows)
+    for q in {i for i, _ in rows if i % 5 == 0}:
+        asked = {w for i, x in rows if i == q for w in x}
         scores = []
-        for d, x in words.items():
+        for d, x in rows:
             tf = Counter(x)
-            s = sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in set(words[q]) if tf[w])
+            s = sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in asked if tf[w])
             if s:
                 scores.append((-round(s, 6), d))
-        mine = sorted((r["rank"], r["doc_id"], r["score"]) for r in got.where(f"query_id = {q}").collect())
+        mine = sorted((r["rank"], r["doc_id"], r["score"]) for r in got if r["query_id"] == q)
         assert [(d, pytest.approx(-s, abs=2e-6)) for s, d in sorted(scores)[:4]] == [(d, s) for _, d, s in mine]
+    assert {r["query_id"] for r in got} <= {i for i, _ in rows}
+
+
+def test_bounds_hold_and_skip(monkeypatch):
+    """No block of a document that belongs to the result is skipped, and some blocks are."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(search, "HEAD", 30)
+    words = np.arange(1, 400)
+    common = 1 / np.arange(1, 400)
+    texts = [rng.choice(words, rng.integers(3, 60), p=common / common.sum()) * (1 + 400 * (i // 300)) for i in range(900)]
+    data, names, _ = search.Shard.build(list(range(900)), texts)
+    shard, weights = search.Shard(data, 30.0), rng.random(len(names)) + 0.1
+    seen = []
+    plain = search.Shard.score
+    monkeypatch.setattr(search.Shard, "score", lambda self, take, *rest: (seen.append(take.sum()), plain(self, take, *rest))[1])
+    asked = [np.unique(t) for t in texts[::9]]
+    best = search.Best(len(asked), 5)
+    shard.search(np.cumsum([0, *map(len, asked)]), np.concatenate(asked), weights[np.searchsorted(names, np.concatenate(asked))], best)
+    for q, ws in enumerate(asked):
+        at = np.searchsorted(names, ws)
+        score = np.zeros(900)
+        for a in at:
+            place = slice(shard.ptr[a], shard.ptr[a + 1])
+            score[shard.doc[place]] += weights[a] * shard.impact[place]
+        score = np.round(score, search.DIGITS)
+        order = np.lexsort((shard.doc_ids, -score))[:5]
+        mine = best.query == q
+        assert best.doc_id[mine].tolist() == shard.doc_ids[order][score[order] > 0].tolist() and np.allclose(best.score[mine], score[order][score[order] > 0], atol=2e-6)
+    assert 0 < sum(seen) < 0.8 * len(asked) * shard.n_blocks
 
 
 def test_chats(spark):
