@@ -1,13 +1,10 @@
-"""Shared plumbing of the training-data operators: input tables, the shared folder, staged tables, worker code shipping."""
+"""Shared plumbing of the training-data operators: input tables, worker code and memory, joins that deal out hot keys."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonde.sources.staging import new_path, remove, shared_dir, staged, staged_at
+
+__all__ = ["documents", "give_back", "new_path", "remove", "shared_dir", "ship", "spread_join", "staged", "staged_at", "table", "texts", "tidied"]
+
 #: Rows per Arrow batch: texts can be long, so batches are kept short to bound a worker's memory.
 BATCH_ROWS = 512
 #: A key with more than this part of a table's rows is hot; so there are at most as many hot keys, which bounds their broadcast.
 HOT_KEYS = 1024
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
-_own_dir: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,51 +77,6 @@ def give_back() -> None:
         trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only where it is unset, a local one of our own."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="sonde-shared-"))
-    return _own_dir[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver process ends."""
-    path = f"{shared_dir(spark)}/sonde/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: only a local folder can still be removed
-        if path.startswith("file://") and os.path.isdir(path[7:]):
-            import shutil
-
-            shutil.rmtree(path[7:], ignore_errors=True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage in a way that outlives lost executors.
-
-    The shuffle files of the step go as soon as its rows are written; nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spread_join(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, by: list[str]) -> DataFrame:
     """``rows`` left-joined on ``keys`` with ``counted``: one row per key, with c, how many of the ``total`` rows have it.
 

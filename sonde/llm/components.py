@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.llm.common import spread_join, staged
+from sonde.llm.common import remove, spread_join, staged_at
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
@@ -24,12 +24,17 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for each node of ``edges`` (a, b). Nodes without edges are not listed."""
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """node, component (its least node) for each node of ``edges`` (a, b). Nodes without edges are not listed.
+
+    Each round's table is deleted once the next one is written.
+    """
+    now, path = staged_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
     seen = mark(now)
     while seen[0]:
-        now = staged(_star(_star(now, True, seen[0]), False, seen[0]), "edges")
+        before = path
+        now, path = staged_at(_star(_star(now, True, seen[0]), False, seen[0]), "edges")
+        remove(edges.sparkSession, before)
         new = mark(now)
         if new == seen:
             break
