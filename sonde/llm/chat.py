@@ -7,7 +7,8 @@ conversation can be read back without doubt, and what a user types can never act
 
 Edge cases: null texts and roles are empty; turns are ordered by (turn, role, text), nulls first, so ties and repeated
 rows have a fixed order and all are kept; a null conv_id is a conversation of its own; empty tables give no rows; an order
-of roles that the machine does not accept is formatted all the same and flagged in ``valid``; further columns are ignored.
+of roles that the machine does not accept is formatted all the same and flagged in ``valid``; further columns are ignored;
+very long texts are taken whole. ``query`` adds its probe as conversation -1: turns that are there under that number join it.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ answer's (second half).
 The index goes to the executors in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS letters, one pass each.
 
 Edge cases: null and empty texts match nothing, nor do items without words; an item of fewer than five words is one shingle;
-repeated rows and items are matched each; empty tables give no rows; further columns are ignored (``clean`` keeps them).
+repeated rows and items are matched each, rows without doc_id too; items without item_id are left out; very long texts are taken whole; empty tables give no rows; further columns are ignored (``clean`` keeps them).
 """
 
 from __future__ import annotations

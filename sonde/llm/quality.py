@@ -11,7 +11,8 @@ features that no score test tells from chance, keep weight 0.
 
 Edge cases: null and empty texts have shape features only; rows without a usable label are not fitted on, but scored; with
 fewer than two grades among the labels nothing is fitted and every document is kept; repeated rows are scored each; empty
-tables give no rows; further columns are ignored.
+tables give no rows; further columns are ignored. Very long texts are taken whole. Ties: rows on the sample's border go by hash, doc_id
+and grade, a document whose chance is the cut itself is kept.
 """
 
 from __future__ import annotations

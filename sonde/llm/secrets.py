@@ -7,7 +7,7 @@ changes between letter kinds, how much of it dictionary words cover, whether it
 around it. It is trained on labelled findings, by default those of ``labelled_findings``: keys, tokens and passwords in
 assignments and headers against hashes of commits, ids, paths, encoded pictures, version numbers and long plain words.
 
-Edge cases: null and empty texts have no candidates; very long runs are one candidate; repeated rows are scanned each; empty
+Edge cases: null and empty texts have no candidates; very long texts are scanned whole, very long runs are one candidate; repeated rows are scanned each; empty
 tables give no rows; further columns are kept by ``redact`` and ignored by ``scan``; a null source is an empty one.
 """
 

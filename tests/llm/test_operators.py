@@ -151,6 +151,16 @@ def test_substrings_against_brute_force(docs, monkeypatch):
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_substrings_without_doc_id_and_with_one_id_for_two_texts(spark):
+    shared, other = "s" * 60 + prose(30, random.Random(1)), prose(40, random.Random(2))
+    rows = [(None, shared), (5, other), (5, shared + "!"), (7, shared), (7, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(df).collect()), key=str)
+    n = len(shared.encode())
+    # no doc_id comes first and keeps its text; of the two with id 5 one has it again; both rows of 7 lose all
+    assert got == sorted([(None, n, 0, 0), (5, len(other.encode()), 0, 0), (5, n + 1, n, 1), (7, n, n, 1), (7, n, n, 1)], key=str)
+
+
 def shingle_sets():
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = {}
@@ -317,6 +327,70 @@ def test_unigram_counts(docs):
     assert all((got[i].n_tokens == 0) == (not t.split()) and got[i].n_words == len(t.split()) for i, t in texts().items())
 
 
+def test_unigram_counts_of_documents(docs):
+    """Whole texts with the real vocabulary, against a plain best path for each word."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores = unigram.piece_trie(path).scores
+    longest = max(map(len, scores))
+
+    def pieces(word):
+        best = [(0.0, 0)]
+        for i in range(1, len(word) + 1):
+            size = len(word[i - 1].encode())
+            options = [] if word[i - 1] in scores else [(best[i - 1][0] + size * unigram.BYTE_SCORE, -(-best[i - 1][1] + size))]
+            options += [(best[j][0] + scores[word[j:i]], best[j][1] - 1) for j in range(max(0, i - longest), i) if word[j:i] in scores]
+            best.append(max(options))
+        return -best[-1][1]
+
+    count = {w: pieces("▁" + w) for t in texts().values() for w in set(t.split()) if len(w) < 200}
+    got = rows_of(unigram.count_tokens(docs, path))
+    checked = 0
+    for i, t in texts().items():
+        if all(w in count for w in t.split()):
+            assert got[i].n_tokens == sum(count[w] for w in t.split())
+            checked += 1
+    assert checked >= len(texts()) - 1
+
+
+def test_the_fit_is_a_maximum():
+    """No change of a weight or a threshold makes the fitted data, with its penalty, likelier."""
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(8) < 0.4) for _ in range(400)]
+    z = np.array([0.9 * (0 in r) - 1.1 * (1 in r) + 0.5 * (2 in r) for r in rows]) + rng.logistic(size=400)
+    grades = np.digitize(z, [-0.5, 0.8])
+    model = quality.CumulativeLink.fit(rows, grades, 3, least=1, steps=3000, rate=0.02, clear_by=0)
+
+    def cost(weights, thresholds):
+        theta = np.concatenate([[-np.inf], thresholds, [np.inf]])
+        s = np.array([weights[r].sum() for r in rows])
+        p = quality.sigmoid(theta[grades + 1] - s) - quality.sigmoid(theta[grades] - s)
+        return -np.log(p).mean() + 1e-4 / 2 * (weights**2).sum()
+
+    weights, thresholds = model.weights[:8].astype(float), model.thresholds
+    at = cost(weights, thresholds)
+    for k in range(8):
+        for step in (0.05, -0.05):
+            assert cost(weights + step * np.eye(8)[k], thresholds) > at - 1e-6
+    for k in range(2):
+        for step in (0.05, -0.05):
+            assert cost(weights, thresholds + step * np.eye(2)[k]) > at - 1e-6
+    assert abs(weights[0] - 0.9) < 0.5 and abs(weights[1] + 1.1) < 0.5
+
+
+def test_quality_takes_whole_texts_and_fits_the_same_on_ties(spark):
+    """The last word of a very long text counts; which of the rows on the sample's border are fitted on is fixed."""
+    rng = random.Random(5)
+    rows = [(i, " ".join([*(rng.choice(WORDS) for _ in range(20)), "vile" if i % 2 else "kind"])) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (900, prose(30_000) + " vile"), (901, prose(30_000) + " kind")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i, _ in rows] + [(i, 1 - i % 2, i % 2) for i, _ in rows[:50]], "doc_id long, quality int, toxic int")
+    model, again = quality.fit(docs, labels, 120), quality.fit(docs.repartition(5), labels.repartition(3), 120)
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.thresholds, again.thresholds)
+    got = rows_of(quality.score(docs, model, tail=0.5))
+    assert not got[900].keep and got[901].keep
+    tail = got[901].p_top
+    assert rows_of(quality.score(docs, model, tail=tail))[901].keep  # on the cut: kept
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, labels = [], []
@@ -361,6 +435,38 @@ def test_secrets(docs, spark):
     assert secrets.redact(docs, model).columns == docs.columns
 
 
+def test_trees_split_where_it_is_best():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 30, (80, 1)).astype(float)
+    y = ((x[:, 0] > 11) ^ (rng.random(80) < 0.2)).astype(float)
+    feature, cut, left, right, share = secrets.Forest.fit(x, y, trees=1, depth=1, seed=3).trees[0]
+    rows = np.random.default_rng(3).integers(0, 80, 80)
+    v, t = x[rows, 0], y[rows]
+    gini = lambda part: len(part) * part.mean() * (1 - part.mean()) if len(part) else 0
+    cost = {c: gini(t[v <= c]) + gini(t[v > c]) for c in np.unique(v)[:-1]}
+    assert feature[0] == 0 and cost[max(c for c in cost if c <= cut[0])] == pytest.approx(min(cost.values()))
+    assert share[left[0]] == pytest.approx(t[v <= cut[0]].mean()) and share[right[0]] == pytest.approx(t[v > cut[0]].mean())
+
+
+def test_secrets_of_documents(spark, sf):
+    """On the given documents: every planted token is found, and what is kept is such a token."""
+    rows = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    text = {r.doc_id: r.text or "" for r in rows.collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in text.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    found = {(r.doc_id, s.start, s.end) for r in secrets.scan(rows, secrets.scanner()).collect() for s in r.spans}
+    assert len(planted) > 5 and planted <= found
+    assert len(planted) >= 0.9 * len(found)
+
+
+def test_redacting_long_and_odd_texts(spark):
+    key = hashlib.sha1(b"y").hexdigest()
+    long = prose(20_000) + f' token = "{key}" ' + prose(20_000)
+    df = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (None, None, None), (2, "", None), (3, f'"{key}', "y")], "doc_id long, text string, spans string")
+    got = [r.text for r in secrets.redact(df, secrets.scanner()).orderBy("doc_id").collect()]
+    want = long.replace(key, secrets.MASK)
+    assert got[0] is None and got[1:3] == [want, want] and got[3] == ""
+
+
 def test_features_are_of_the_whole_candidate():
     words = secrets.dictionary(None)
     run = "a" * 600 + "9F8E7D6C" * 30 + ".py"
@@ -419,6 +525,17 @@ def test_decontamination_against_brute_force(docs, spark, monkeypatch):
     assert decontaminate.matches(df, table.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), table).count() == 0
 
 
+def test_decontamination_with_clashing_names_and_long_texts(spark):
+    item = prose(40, random.Random(3))
+    long = prose(20_000, random.Random(4)) + " " + item + " " + prose(20_000, random.Random(5))
+    df = spark.createDataFrame([(1, long, 7, 0.5, 0.1), (1, long, 7, 0.5, 0.1), (None, item, 8, 0.5, 0.1), (2, prose(30, random.Random(6)), 9, 0.5, 0.1)], "doc_id long, text string, item_id long, score double, overlap double")
+    items = spark.createDataFrame([(4, item, "x"), (None, item, "y")], "item_id long, text string, doc_id string")
+    got = sorted(((r.doc_id, r.item_id) for r in decontaminate.matches(df, items).collect()), key=str)
+    assert got == [(1, 4), (1, 4), (None, 4)]
+    kept = decontaminate.clean(df, items)
+    assert kept.columns == df.columns and [r.item_id for r in kept.collect()] == [9]
+
+
 def test_wand_is_exact():
     rng = random.Random(1)
     index = decontaminate.BlockMaxIndex([(i, " ".join(rng.choice(WORDS[:80]) for _ in range(20))) for i in range(150)])
@@ -499,6 +616,47 @@ def test_chats(spark):
     assert "Python" not in chat.format_chats(df)._jdf.queryExecution().toString()
 
 
+def test_long_chats_and_a_conversation_of_the_probes_number(spark, tmp_path):
+    long = "[INST] <s> & " * 40_000
+    rows = [(-1, 0, "user", "first"), (-1, 1, "assistant", "second"), (9, 0, "user", long), (9, 1, "assistant", long)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.query(spark, str(tmp_path)).collect()}
+    assert got[9].loss_chars == len(long) and got[9].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[-1].n_turns == 4 and not got[-1].valid  # the probe's turns join those that are there
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns named as the stages name their own; and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    good = [" ".join([*(rng.choice(WORDS) for _ in range(60)), "kind"]) for _ in range(120)]
+    vile = [" ".join([*(rng.choice(WORDS) for _ in range(60)), "vile"]) for _ in range(120)]
+    key = hashlib.sha1(b"z").hexdigest()
+    rows = [(i, t, None, "s", len(t)) for i, t in enumerate(good + vile)]
+    rows += [(500, good[7], "en", None, None), (501, None, "en", "s", None), (502, "", None, None, 0), (503, good[9] + f' token = "{key}" kind', "en", "s", 1), (504, "benchmark says " + good[11] + " kind", "en", "s", 1)]
+    rows += [rows[3], rows[3], (None, good[5] + " kind other", "en", "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, component long, grade int, keep boolean, ids string"
+    docs = spark.createDataFrame([(*r, "k", 1, 2, True, "i") for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for d in ("sf", "none"):
+        spark.createDataFrame([(i, int(i < 120), int(i >= 120)) for i in range(240)] + [(None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame([(1, good[11]), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/sf/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, f"{tmp_path}/sf")
+        assert after.schema.names == docs.schema.names, name
+        kept = after
+    out = {r.doc_id: r.text for r in kept.collect()}
+    assert not set(out) & set(range(120, 240)) and 500 not in out and 504 not in out and 11 not in out  # vile, a copy, the benchmark's
+    assert set(range(120)) - {11} <= set(out) and None in out
+    assert 503 not in out or key not in out[503]
+    ids = corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()
+    assert {r.doc_id for r in ids} == set(out) and all(len(r.ids) == r.n_tokens for r in ids)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_queries_and_pipeline(spark, sf):
     import __spark_entry__ as entry
     import corpus_pipeline
