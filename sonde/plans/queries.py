@@ -13,7 +13,7 @@ from sonde.functions.models import Activations, EmbeddedActivations, SineModel,
 from sonde.operators import dense, evaluate, lexical, losses, rank, sparse
 from sonde.plans.pipelines import retrieve_and_rank
 from sonde.sources import corpora
-from sonde.sources.staging import new_path
+from sonde.sources.staging import new_path, staged
 from sonde.streaming.index import index_stream, load, stream_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,7 +711,8 @@ S_IDEAL = "(SELECT sum(r / log2(p + 1)) FROM (SELECT relevance AS r, row_number(
 
 
 def metrics_of(spark, d, *names: str) -> DataFrame:
-    return rounded(evaluate.evaluate(bm25_run(spark, d), qrels(spark, d), names), "value")
+    judged = staged(qrels(spark, d), "qrels")  # used for the ideal ranking too
+    return rounded(evaluate.evaluate(bm25_run(spark, d), judged, names), "value")
 
 
 @register(f"WITH {S_QRELS} SELECT query_id, key, relevance::INTEGER AS relevance FROM qrels")
