@@ -572,6 +572,12 @@ def test_search_against_brute_force(docs, monkeypatch, head):
     assert {r["query_id"] for r in got} <= {i for i, _ in rows}
 
 
+def test_groups_of_files_are_even(spark):
+    files = spark.createDataFrame([(f"shard-{i}",) for i in range(32)], "path string")
+    got = [r.paths for r in search.grouped(files, 2, "group", "paths").collect()]
+    assert sorted(p for g in got for p in g) == sorted(f"shard-{i}" for i in range(32)) and {len(g) for g in got} == {2}
+
+
 def test_bounds_hold_and_skip(monkeypatch):
     """No block of a document that belongs to the result is skipped, and some blocks are."""
     rng = np.random.default_rng(3)
