@@ -14,7 +14,7 @@ from sonde.functions import text as T
 from sonde.functions.encode import HashingEncoder, encode, encode_embedded, encode_vectors
 from sonde.functions.models import Activations, EmbeddedActivations, SineModel, TokenVectors, cosines, freeze
 from sonde.functions.vectors import dot, max_sim
-from sonde.operators import dense, evaluate, losses, rank, sparse
+from sonde.operators import dense, evaluate, lexical, losses, rank, scan, sparse
 from sonde.operators.lexical import BM25, TfIdf
 from sonde.plans.queries import QUERIES, SQL
 from sonde.sources import corpora, staging, store
@@ -110,6 +110,37 @@ def test_folded_idf_is_the_plain_formula(spark):
         assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("analyzer", ["char_wb", "word"])
+def test_scans_find_what_the_weights_say(spark, monkeypatch, analyzer):
+    """Searches by small chunks and few queries at once, against products with the index's weights; no postings are staged."""
+    for name, value in (("CHUNK", 3), ("HEAD", 4), ("QUERIES", 2), ("TERMS", 9), ("CACHE", 5), ("AT_ONCE", 2)):
+        monkeypatch.setattr(scan, name, value)
+    names, plain = [], staging.staged
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(("food", "foot", "sport", "sports", "cinéma", "movie")) for _ in range(rng.randint(0, 6)))
+    docs = [(i, text()) for i in range(40)]
+    asked = spark.createDataFrame([(0, "food foot"), (1, "sport"), (2, "cinéma movies"), (3, "food foot"), (4, ""), (5, "sports food")], "query_id long, query string")
+    for options in ({}, {"norm": "global", "epsilon": 0.5}, {"norm": None, "idf_by": "df"}):
+        index = BM25("id", "document", analyzer=analyzer, **options)
+        for part in (docs[:15], docs[15:30], docs[30:]):
+            index = index.add(frames(spark, part)[0])
+        want = sparse.search(index.query_counts(asked).withColumnRenamed("tf", "weight"), index.weights(), "id", 4)
+        with monkeypatch.context() as m:
+            for module in (lexical, scan):
+                m.setattr(module, "staged", lambda df, name, **how: (names.append(name), plain(df, name, **how))[1])
+            got = index.search(asked, 4).collect()
+        assert {(r.query_id, r["rank"], r.id): round(r.similarity, 7) for r in got} == {(r.query_id, r["rank"], r.id): round(r.similarity, 7) for r in want.collect()}
+    assert "chunks" in names and "postings" not in names
+
+
+def test_rows_of_one_key_are_one_document(spark):
+    """As in the queries' SQL; rows of different lengths were documents of their own, and met the mean length so."""
+    docs, asked = frames(spark, [(0, "food"), (0, "food sport cinema"), (1, "food sport"), (2, "movie"), (None, "movie")], [(0, "food sport")])
+    merged, _ = frames(spark, [(0, "food food sport cinema"), (1, "food sport"), (2, "movie")])
+    plain = results(BM25("id", "document", norm="batch").add(merged).search(asked))[0]
+    assert results(BM25("id", "document", norm="batch").add(docs).search(asked))[0] == {k: pytest.approx(v) for k, v in plain.items()}
+
+
 def test_nulls_empty_texts_and_empty_tables(spark):
     docs, asked = frames(spark, [(0, None), (1, ""), (2, "food")], [(0, None), (1, ""), (2, "food")])
     assert list(results(BM25("id", "document").add(docs).search(asked))) == [2]
