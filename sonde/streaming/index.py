@@ -10,25 +10,24 @@ from sonde.operators.lexical import BM25, Lexical
 
 
 def index_stream(stream: DataFrame, index: Lexical, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's keys and n-gram counts to ``folder``, by batch; ``load`` makes the index from them.
+    """Append each micro-batch's keys and normalised texts to ``folder``, by batch; ``load`` makes the index from them.
+
+    The texts are a fraction of their n-grams' counts, which searches make of the queries' terms alone.
 
     A micro-batch that runs again overwrites its own part. No batch needs another one's texts.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        index.counts(batch).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
-        batch.select(index.key).write.mode("overwrite").parquet(f"{folder}/keys/batch={batch_id}")
+        index.rows(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def load(spark: SparkSession, index: BM25, folder: str) -> BM25:
     """``index`` with a batch for each micro-batch in ``folder``, in their order; empty ones are left out."""
-    keys = spark.read.parquet(f"{folder}/keys")
-    counts = spark.read.parquet(f"{folder}/counts")
-    for batch in sorted(r.batch for r in keys.select("batch").distinct().collect()):  # one row a micro-batch
-        mine = F.col("batch") == batch
-        index = index.add_counts(keys.where(mine).drop("batch"), counts.where(mine).drop("batch"))
+    rows = spark.read.parquet(f"{folder}/rows")
+    for batch in sorted(r.batch for r in rows.select("batch").distinct().collect()):  # one row a micro-batch
+        index = index.add_rows(rows.where(F.col("batch") == batch).drop("batch"))
     return index
 
 

@@ -141,6 +141,17 @@ def test_rows_of_one_key_are_one_document(spark):
     assert results(BM25("id", "document", norm="batch").add(docs).search(asked))[0] == {k: pytest.approx(v) for k, v in plain.items()}
 
 
+def test_stream_folder_has_no_counts(spark, sf, tmp_path):
+    """A stream's folder keeps texts; n-gram counts are many times their size."""
+    from sonde.streaming.index import index_stream, load, stream_table
+
+    every = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(20)
+    every.write.parquet(f"{tmp_path}/in")
+    index_stream(stream_table(spark, every.schema, f"{tmp_path}/in"), BM25("doc_id", "text"), f"{tmp_path}/index", f"{tmp_path}/checkpoint").awaitTermination()
+    assert [p.name for p in (tmp_path / "index").iterdir()] == ["rows"]
+    assert sum(b.keys.count() for b in load(spark, BM25("doc_id", "text"), f"{tmp_path}/index").batches) == 20
+
+
 def test_nulls_empty_texts_and_empty_tables(spark):
     docs, asked = frames(spark, [(0, None), (1, ""), (2, "food")], [(0, None), (1, ""), (2, "food")])
     assert list(results(BM25("id", "document").add(docs).search(asked))) == [2]
