@@ -433,6 +433,24 @@ def test_tfidf_by_scans(spark, monkeypatch, low, high, size):
     assert got == {key: pytest.approx(w) for key, w in want.items()}
     totals = {r["id"]: (r["n"], r["total"], r["most"]) for r in index.totals().collect()}
     assert totals == {key: pytest.approx((len(w), sum(w.values()), max(w.values()))) for key, w in want.items()}
+    queries = [(i, t) for i, t in enumerate(LETTERS)] + [(20, "nothing known 一丁"), (7, "zq")]
+    asked = spark.createDataFrame([*queries, (None, "abc")], "query_id long, query string")
+    scores = {}
+    for q, w in plain_tfidf(queries, low, high)[0].items():
+        texts = [" ".join((t or "").lower().split()) for i, t in queries if i == q]
+        tf = {}
+        for t in texts:
+            for g in (t[i : i + n] for n in range(low, high + 1) for i in range(len(t) - n + 1)):
+                if g in idf:
+                    tf[g] = tf.get(g, 0) + 1
+        w = unit({g: n * idf[g] for g, n in tf.items()}) if tf else {}
+        mine = {d: s for d, v in want.items() if (s := sum(x * v.get(g, 0.0) for g, x in w.items())) > 1e-9}
+        if mine:
+            scores[q] = mine
+    every = {q: pytest.approx(s) for q, s in scores.items()}
+    assert results(index.search(asked)) == every
+    best = {q: [d for d, _ in sorted(s.items(), key=lambda x: (-round(x[1], 9), x[0]))[:2]] for q, s in scores.items()}
+    assert {q: list(s) for q, s in results(index.search(asked, 2).orderBy("query_id", "rank")).items()} == best
     assert not {"counts", "weights", "tfidf"} & set(staged_as)
 
 
