@@ -680,3 +680,13 @@ def test_queries_and_pipeline(spark, sf):
     assert {r.doc_id for r in out} == {r.doc_id for r in kept.select("doc_id").collect()}
     assert decontaminate.matches(kept, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
     assert kept.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
+
+
+def test_search_groups_are_as_few_as_keep_the_cores_busy():
+    """op9_top_k: only a group's first shard begins without thresholds."""
+    for files, cores in ((1, 6), (6, 6), (32, 6), (49, 6), (1536, 6), (1536, 200), (5, 200)):
+        size = search.group_size(files, cores)
+        assert 1 <= size <= search.TASK_SHARDS
+        groups = -(-files // size)
+        assert groups >= min(files, cores) * 3 / 4
+        assert size == search.TASK_SHARDS or groups <= cores * -(-files // (cores * search.TASK_SHARDS))
